@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import exact_dedup
+from prosemill.llm import exact_dedup, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": near_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
