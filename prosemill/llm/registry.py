@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import exact_dedup, near_dedup
+from prosemill.llm import exact_dedup, near_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
