@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,26 @@ def count_words(column):
     """Number of runs of non-blanks as a native expression; null counts as empty."""
     text = F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), BLANKS, " "))
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def tree_sum(parts: DataFrame, groups: int = 16) -> np.ndarray | None:
+    """Sum of the vectors of doubles in the binary column v; None without a row.
+
+    Tasks have summed their own rows; ``groups`` partial sums alone reach the driver.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column("v").to_pylist():
+                x = np.frombuffer(blob)
+                total = x if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], names=["v"])
+
+    rows = sorted(bytes(r.v) for r in parts.repartition(groups).mapInArrow(add, "v binary").collect())
+    return sum((np.frombuffer(x) for x in rows[1:]), start=np.frombuffer(rows[0])) if rows else None
+
+
+def vector_row(v: np.ndarray) -> pa.RecordBatch:
+    """One row for ``tree_sum``."""
+    return pa.RecordBatch.from_arrays([pa.array([v.astype(np.float64).tobytes()], pa.binary())], names=["v"])

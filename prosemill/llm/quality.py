@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import crc_mod, table
+from prosemill.llm.common import Scratch, crc_mod, table, tree_sum, vector_row
 
 BINS = 1000
 _KINDS = np.zeros(256, np.int64)
@@ -100,22 +100,6 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return x, np.repeat(value, width)
 
 
-def _tree_sum(parts: DataFrame, groups: int = 16) -> np.ndarray | None:
-    """Sum of the vectors in column v: within tasks, then ``groups`` partial sums, which alone reach the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for blob in batch.column("v").to_pylist():
-                x = np.frombuffer(blob)
-                total = x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], names=["v"])
-
-    rows = parts.repartition(groups).mapInArrow(add, "v binary").collect()
-    # A fixed order of addition, so that a rerun gives the same model.
-    return sum((np.frombuffer(x) for x in sorted(bytes(r.v) for r in rows)), start=np.zeros(1)) if rows else None
-
-
 def _texts(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches in pieces with the statistics of their texts."""
     for batch in batches:
@@ -148,8 +132,6 @@ def _bin(raw: np.ndarray) -> np.ndarray:
 
 def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: float = 1e-2, seed: int = 7) -> QualityModel:
     """Fit on rows (text, y). Two passes over their statistics, which are written once to the shared folder."""
-    from prosemill.llm.common import Scratch
-
     def stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, s in _texts(batches):
             yield pa.RecordBatch.from_arrays([piece.column("y").cast(pa.float64()), pa.array([r.tobytes() for r in s], pa.binary())], names=["y", "s"])
@@ -159,19 +141,16 @@ def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: flo
             s = np.frombuffer(b"".join(batch.column("s").to_pylist())).reshape(-1, len(STATISTICS))
             yield s, batch.column("y").to_numpy(zero_copy_only=False)
 
-    def one(v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary())], names=["v"])
-
     def moments(batches):
         total = np.zeros(2 + 2 * len(STATISTICS))
         for s, y in rows_in(batches):
             total += np.concatenate([[len(y), y.sum()], s.sum(axis=0), (s * s).sum(axis=0)])
-        yield one(total)
+        yield vector_row(total)
 
     kept = Scratch(training.sparkSession, "quality").keep(training.mapInArrow(stats_rows, "y double, s binary"))
-    m = _tree_sum(kept.mapInArrow(moments, "v binary"))
-    if m is None or len(m) < 3 or m[0] == 0 or m[1] in (0, m[0]):
-        return QualityModel(None, None, 0.5 if m is None or len(m) < 3 or m[0] == 0 else float(m[1] / m[0]))
+    m = tree_sum(kept.mapInArrow(moments, "v binary"))
+    if m is None or m[0] == 0 or m[1] in (0, m[0]):
+        return QualityModel(None, None, 0.5 if m is None or m[0] == 0 else float(m[1] / m[0]))
     d = len(STATISTICS)
     mean = m[2 : 2 + d] / m[0]
     scale = np.sqrt(np.maximum(m[2 + d :] / m[0] - mean**2, 1e-12))
@@ -187,9 +166,9 @@ def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: flo
             f, w = phi(s), np.where(y > 0, heavy[1.0], heavy[0.0])
             a += (f * w[:, None]).T @ f
             b += f.T @ (y * w)
-        yield one(np.concatenate([a.reshape(-1), b]))
+        yield vector_row(np.concatenate([a.reshape(-1), b]))
 
-    total = _tree_sum(kept.mapInArrow(normal, "v binary"))
+    total = tree_sum(kept.mapInArrow(normal, "v binary"))
     k = features + 1
     a, b = total[: k * k].reshape(k, k), total[k * k :]
     weights = np.linalg.solve(a + ridge * m[0] / k * np.eye(k), b)
@@ -201,9 +180,9 @@ def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: flo
             at = _bin(phi(s) @ weights)
             np.add.at(n, (0, at), 1)
             np.add.at(n, (1, at), y)
-        yield one(n.reshape(-1))
+        yield vector_row(n.reshape(-1))
 
-    n, ones = _tree_sum(kept.mapInArrow(bins, "v binary")).reshape(2, BINS)
+    n, ones = tree_sum(kept.mapInArrow(bins, "v binary")).reshape(2, BINS)
     full = np.nonzero(n)[0]
     model.x, model.y = isotonic((full + 0.5) / BINS * 2 - 0.5, ones[full] / n[full], n[full])
     return model
