@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, quality, suffix_dedup, url_filter, vector_dedup
+from prosemill.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, piece_codec, quality, suffix_dedup, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
 }
