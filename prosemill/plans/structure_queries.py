@@ -78,7 +78,7 @@ QUERIES = {
     "s04_phases": _on(S.numbered_phases),
     "s05_emoji": _on(S.emoji_density),
     "s06_bold_label_list": _on(S.bold_label_lists),
-    "s07_heading_shapes": _on(S.heading_template, min_headings=3, share=0.4),
+    "s07_heading_shapes": _on(S.heading_template, min_headings=3, share=0.2),
     "s08_heading_emphasis": _on(S.heading_emphasis),
     "s09_structure_density": _on(S.structure_density, min_chars=100),
     "s10_label_style": _on(S.label_style),
@@ -99,7 +99,7 @@ ORACLES = {
     "s05_emoji": f"{B}, d AS (SELECT doc_id, sum(len(regexp_extract_all(text, '{S.CLUSTER}'))) AS emoji, {CHARS} AS chars FROM b GROUP BY 1) SELECT doc_id, CAST(emoji AS BIGINT) AS emoji, round(emoji * 1000.0 / chars, 4) AS density FROM d WHERE emoji >= 3 AND emoji * 1000.0 / chars >= 2",
     "s06_bold_label_list": f"{B}, l AS ({LIST}) SELECT doc_id, min(block_ix) AS first_block, count(*) AS labels FROM l WHERE kind = 'item' AND lead_label <> '' GROUP BY doc_id, run HAVING count(*) >= 3",
     "s07_heading_shapes": f"""{B}, h AS (SELECT doc_id, {SHAPE} AS shape FROM b WHERE kind = 'heading' AND level >= 2), c AS (SELECT doc_id, count(*) AS headings, count(*) FILTER (WHERE shape = 'colon') AS c, count(*) FILTER (WHERE shape = 'question') AS q, count(*) FILTER (WHERE shape = 'numbered') AS m FROM h GROUP BY 1)
-      SELECT doc_id, headings, CASE WHEN c = greatest(c, q, m) THEN 'colon' WHEN q = greatest(c, q, m) THEN 'question' ELSE 'numbered' END AS shape, greatest(c, q, m) AS n FROM c WHERE headings >= 3 AND greatest(c, q, m) / headings >= 0.4""",
+      SELECT doc_id, headings, CASE WHEN c = greatest(c, q, m) THEN 'colon' WHEN q = greatest(c, q, m) THEN 'question' ELSE 'numbered' END AS shape, greatest(c, q, m) AS n FROM c WHERE headings >= 3 AND greatest(c, q, m) / headings >= 0.2""",
     "s08_heading_emphasis": f"{B} SELECT doc_id, block_ix, text FROM b WHERE kind = 'heading' AND (n_strong > 0 OR regexp_matches(text, '{S.EMOJI}'))",
     "s09_structure_density": f"""{B}, d AS (SELECT doc_id, {CHARS} AS chars, count(*) FILTER (WHERE kind = 'heading') AS h, count(*) FILTER (WHERE kind = 'item') AS i FROM b GROUP BY 1)
       SELECT doc_id, round(h * 1000.0 / chars, 4) AS headings_per_1000, round(i * 1000.0 / chars, 4) AS items_per_1000 FROM d WHERE chars >= 100 AND (h * 1000.0 / chars >= 4 OR i * 1000.0 / chars >= 10)""",
