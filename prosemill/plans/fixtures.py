@@ -70,3 +70,24 @@ md AS (
   SELECT doc_id, line_ix, ({_quoted(LINES)})[CAST((doc_id % 11 + line_ix) % {len(LINES)} AS INT) + 1] AS line
   FROM (SELECT doc_id, unnest(range(33)) AS line_ix FROM documents) WHERE line_ix < 10 + doc_id % 24
 )"""
+
+
+#: Sentences for the phrase rules that the first pool doesn't reach.
+POOL_B = (
+    "結論として、棚は三つで足りると言えます。", "このように、荷は減っていく。", "つまり、鍵を渡すということです。", "仕組みを深掘りします。", "原因を掘り下げている。", "手順を言語化していく。", "これこそが棚卸しの醍醐味だ。",
+    "理由は3つあります。", "大きく分けて二つの棚がある。", "以下の4点を確かめる。", "この道具は地味に効く。", "次の打ち手を考えます。", "計画に落とし込む作業が残る。", "入口の扉は開けておいてもかまいません。", "専門家は需要の増加を指摘しています。",
+    "本書は手順の重要さを強調する。", "倉庫の棚の番号の表を見る。", "迅速、柔軟、安全な作業を目指す。", "赤い棚、青い棚、白い棚、黒い棚。", "準備は静かに進み、ふと気づくと夜だった。", "私たちは少しだけ立ち止まる。", "棚は——古いけれど丈夫で——今も使える。",
+    "机、椅子、書架、台帳、脚立、照明、暖房器具、掲示板を倉庫の北側に運び、入口から順に並べてください。", "以上、棚卸しについて解説しました。", "迷う日は、まず数える。",
+)
+
+
+def jb_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, block_ix, ord, text of 15 sentences a document from the second pool, three a paragraph."""
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    rows = ids.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    return rows.select("doc_id", F.floor(F.col("ord") / 3).cast("int").alias("block_ix"), "ord", _pick(POOL_B, (F.col("doc_id") * 3 + F.col("ord") * 7) % len(POOL_B)).alias("text"))
+
+
+JB = f"""
+jb AS (SELECT doc_id, CAST(ord // 3 AS INT) AS block_ix, ord, ({_quoted(POOL_B)})[CAST((doc_id * 3 + ord * 7) % {len(POOL_B)} AS INT) + 1] AS text
+  FROM (SELECT doc_id, unnest(range(15)) AS ord FROM documents))"""
