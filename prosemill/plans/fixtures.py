@@ -76,7 +76,7 @@ md AS (
 POOL_B = (
     "結論として、棚は三つで足りると言えます。", "このように、荷は減っていく。", "つまり、鍵を渡すということです。", "仕組みを深掘りします。", "原因を掘り下げている。", "手順を言語化していく。", "これこそが棚卸しの醍醐味だ。",
     "理由は3つあります。", "大きく分けて二つの棚がある。", "以下の4点を確かめる。", "この道具は地味に効く。", "次の打ち手を考えます。", "計画に落とし込む作業が残る。", "入口の扉は開けておいてもかまいません。", "専門家は需要の増加を指摘しています。",
-    "本書は手順の重要さを強調する。", "倉庫の棚の番号の表を見る。", "迅速、柔軟、安全な作業を目指す。", "赤い棚、青い棚、白い棚、黒い棚。", "準備は静かに進み、ふと気づくと夜だった。", "私たちは少しだけ立ち止まる。", "棚は——古いけれど丈夫で——今も使える。",
+    "本書は手順の重要さを強調する。", "倉庫の棚の番号の表を見る。", "迅速、柔軟、安全な作業を目指す。", "赤の棚、青の棚、白の棚、黒の棚。", "記録は安全につながります。", "準備は静かに進み、ふと気づくと夜だった。", "私たちは少しだけ立ち止まる。", "棚は——古いけれど丈夫で——今も使える。",
     "机、椅子、書架、台帳、脚立、照明、暖房器具、掲示板を倉庫の北側に運び、入口から順に並べてください。", "以上、棚卸しについて解説しました。", "迷う日は、まず数える。",
 )
 
