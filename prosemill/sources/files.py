@@ -39,7 +39,7 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("m
     name = F.regexp_replace("path", f"^(?:file:/*)?/?{base.lstrip('/')}/", "")
     rows = raw.select(name.alias("name"), "content").filter(~F.col("name").rlike(r"(?:^|/)\.") & ~ignored(F.col("name"), list(ignore)))
     good = F.expr("is_valid_utf8(content)")
-    docs = rows.filter(good).select(F.xxhash64("name").alias("doc_id"), "name", format_of(F.col("name")).alias("format"), F.decode("content", F.lit("UTF-8")).alias("source"))
+    docs = rows.filter(good).select(F.xxhash64("name").alias("doc_id"), "name", format_of(F.col("name")).alias("format"), F.decode("content", "UTF-8").alias("source"))
     return docs, rows.filter(~good).select("name", F.lit("not UTF-8").alias("message"))
 
 
