@@ -107,7 +107,7 @@ class LanguageModel:
         if len(self.index) > _CACHED:
             self.fresh()
         new = list({w for w in words if w not in self.index})
-        if not new:
+        if not new or not self.langs:
             return
         at = len(self.index)
         while at + len(new) > len(self.scores):
