@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.functions.text import any_of
+
 SEVERITIES = ("info", "warning", "error")
 SIGNALS = ("weak", "moderate", "strong")
 
@@ -27,7 +29,8 @@ def signal_rank(signal: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SIGNALS)), signal), F.lit(0)).cast("int")
 
 
-_BODY = re.compile(r"\A\s*(?:prosemill|lint)-(disable-next-line|disable-line|disable-file|disable|enable)(?:\s+(.*?))?\s*\Z", re.S)
+KINDS = "enable disable disable-file disable-line disable-next-line"
+_BODY = re.compile(rf"\A\s*(?:lint|prosemill)-({any_of(KINDS)})(?P<rest>\s.*)?\Z", re.S)
 
 
 def parse_directive(comment: str) -> tuple[str, list[str], str | None] | None:
@@ -35,7 +38,7 @@ def parse_directive(comment: str) -> tuple[str, list[str], str | None] | None:
     m = _BODY.match(comment)
     if not m:
         return None
-    rules, _, reason = (m.group(2) or "").partition("--")
+    rules, _, reason = (m["rest"] or "").strip().partition("--")
     return m.group(1), [r for r in re.split(r"[,\s]+", rules) if r], reason.strip() or None
 
 

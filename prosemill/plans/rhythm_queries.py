@@ -146,9 +146,9 @@ ORACLES = {
     "r09_lead_conjunctions": f"""{JAS}, f AS (SELECT doc_id, block_ix, arg_min(text, ord) AS text FROM s GROUP BY 1, 2),
       c AS (SELECT doc_id, count(*) AS paragraphs, CAST(sum(CASE WHEN {_conj('text')} <> '' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM f GROUP BY 1)
       SELECT *, round(hits / paragraphs, 4) AS ratio FROM c WHERE paragraphs >= 3 AND hits > 0 AND hits / paragraphs >= 0.1""",
-    "r10_cleft": f"{JAS}, {PAIRS} SELECT doc_id, block_ix, ord FROM pairs WHERE regexp_matches({END}, '^(?:それ|これ|この)は.{{0,60}}(?:である|だ)$') AND regexp_matches(next_text, '^(?:なぜなら|というのも)')",
+    "r10_cleft": f"{JAS}, {PAIRS} SELECT doc_id, block_ix, ord FROM pairs WHERE regexp_matches({END}, '{R.CLEFT_HEAD}') AND regexp_matches(next_text, '{R.CLEFT_NEXT}')",
     "r11_self_answer": f"""{JAS}, {PAIRS} SELECT doc_id, block_ix, ord FROM pairs WHERE (regexp_matches(text, '[？?][{T.CLOSERS}{C['S']}]*$') OR regexp_matches({END}, '(?:でしょうか|だろうか|のか|なのか)$'))
-      AND regexp_matches(next_text, '^(?:それは|答えは|理由は|結論は|実は)')""",
+      AND regexp_matches(next_text, '{R.ANSWER}')""",
     "r12_alternation": f"""{DOC}, d AS (SELECT doc_id, block_ix, ord, length - avg(length) OVER (PARTITION BY doc_id) AS d FROM s WHERE length > 0), l AS (SELECT *, lag(d) OVER (PARTITION BY doc_id ORDER BY block_ix, ord) AS d0 FROM d),
       a AS (SELECT doc_id, count(*) AS n, sum(d * d0) AS num, sum(d * d) AS den FROM l GROUP BY 1) SELECT doc_id, n, round(num / den, 4) AS lag1 FROM a WHERE n >= 20 AND den > 0 AND num / den <= -0.2""",
     "r12_nominal_ratio": f"{DOC}, {_stats()} SELECT doc_id, n, CAST(nominal AS BIGINT) AS nominal, round(nominal / n, 4) AS ratio FROM t WHERE n >= 10 AND nominal / n >= 0.4",

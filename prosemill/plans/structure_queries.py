@@ -40,6 +40,9 @@ ANNOUNCED = "regexp_extract(translate(translate(text, '一二三四五六七八
 RESIDUE = r"\*\*([^*\s](?:[^*]{0,58}[^*\s])?)\*\*"
 
 
+COMMENT = "(?s)<!-" + "-.*?-" + "->"
+
+
 def html_visible_text(pages):
     """page_id, title, n_headings, n_items, n_paragraphs and the visible characters of each page's html.
 
@@ -49,7 +52,7 @@ def html_visible_text(pages):
     dropped = html
     for tag in ("script", "style", "template", "textarea", "pre", "code"):
         dropped = F.regexp_replace(dropped, f"(?s)<{tag}[ >].*?</{tag}>", " ")
-    bare = F.regexp_replace(F.regexp_replace(dropped, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(dropped, COMMENT, " "), "<[^>]*>", " ")
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
         bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
     text = F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))
@@ -61,7 +64,7 @@ def _html_sql() -> str:
     x = "coalesce(html, '')"
     for tag in ("script", "style", "template", "textarea", "pre", "code"):
         x = f"regexp_replace({x}, '(?s)<{tag}[ >].*?</{tag}>', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '{COMMENT}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
         x = f"replace({x}, '&{name};', '{sign}')"
     x = f"trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')"

@@ -73,7 +73,7 @@ class Block:
         return best
 
 
-_INLINE = re.compile(r"(?P<code>`+)(?P<in>.+?)(?<!`)(?P=code)(?!`)|!\[[^\]]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)|\$\$[^$]+\$\$|\[\^[^\]\s]+\]|<!--.*?-->|</?[A-Za-z][^<>]*>|\[(?P<label>[^\[\]]+)\]\((?P<url>[^)\s]*)(?:\s+\"[^\"]*\")?\)|(?P<auto><https?://[^>\s]+>)|(?P<run>\*{1,3}|~~)|\\(?P<esc>[!-/:-@\[-`{-~])", re.S)
+_INLINE = re.compile(r"(?P<code>`+)(?P<in>.+?)(?<!`)(?P=code)(?!`)|!\[[^\]]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)|\$\$[^$]+\$\$|\[\^[^\s\]]+\]|<!--.*?-->|</?[A-Za-z][^<>]*>|\[(?P<label>[^\[\]]+)\]\((?P<url>[^)\s]*)(?:\s+\"[^\"]*\")?\)|(?P<auto><https?://[^>\s]+>)|(?P<run>\*{1,3}|~~)|\\(?P<esc>[!-/:-@\[-`{-~])", re.S)
 
 
 def _flank(text: str, start: int, end: int) -> tuple[bool, bool]:
@@ -135,7 +135,7 @@ def inline(raw: str, at: int, block: Block) -> None:
 
 
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)")
+_ITEM = re.compile(r"^(\s*)(?:\d{1,9}[).]|[+*-])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)")
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _TABLE = re.compile(r"^ {0,3}\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")
@@ -310,7 +310,7 @@ def plain_text(source: str) -> list[Block]:
 
 
 class _Html(HTMLParser):
-    HIDDEN = {"script", "style", "code", "pre", "template", "textarea", "noscript"}
+    HIDDEN = set("noscript textarea template pre code style script".split())
     KINDS = {**{f"h{k}": ("heading", k) for k in range(1, 7)}, "li": ("item", 0), "td": ("cell", 0), "th": ("cell", 0), "p": ("paragraph", 0), "div": ("paragraph", 0), "blockquote": ("paragraph", 0), "title": ("paragraph", 0), "article": ("paragraph", 0), "section": ("paragraph", 0), "footer": ("paragraph", 0), "nav": ("paragraph", 0), "ul": ("paragraph", 0), "ol": ("paragraph", 0), "body": ("paragraph", 0), "dd": ("paragraph", 0), "dt": ("paragraph", 0)}
     MARKS = {"b": "strong", "strong": "strong", "i": "emphasis", "em": "emphasis", "a": "link", "del": "strikethrough", "s": "strikethrough"}
 

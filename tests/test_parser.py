@@ -9,7 +9,7 @@ def blocks(source, form="markdown"):
 
 
 def test_markdown_kinds():
-    source = "---\ntitle: x\n---\n# 題\n\n本文**太字**と`code`。\n続き。\n\n- 一\n  - [ ] 二\n1. 三\n\n> 引用。\n\n| a | b |\n|---|---|\n| 一 | 二 |\n\n***\n\n題二\n---\n\n```py\nx\n```\n"
+    source = "---\nauthor: me\n---\n# 題\n\n本文**太字**と`code`。\n続き。\n\n- 一\n  - [ ] 二\n1. 三\n\n> 引用。\n\n| a | b |\n|---|---|\n| 一 | 二 |\n\n***\n\n題二\n---\n\n~~~ sh\nls\n~~~"
     assert blocks(source) == [("heading", "題"), ("paragraph", "本文太字と￼。続き。"), ("item", "一"), ("item", "二"), ("item", "三"), ("paragraph", "引用。"), ("cell", "a"), ("cell", "b"), ("cell", "一"), ("cell", "二"), ("heading", "題二")]
 
 
