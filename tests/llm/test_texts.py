@@ -49,7 +49,7 @@ def base_places(text):
 
 
 def test_licenses(rows_of):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    mit = license_scan.TEMPLATES[0][1].replace("granted", "GRANTED,").replace("charge", "charge,")
     texts = [None, "", "-- ..", "under", "Released under the MIT License. Again: under the mit-license!", "CC BY-NC 4.0 and cc by nc", "Apache License, Version 2.0", f"before {mit} after", mit.replace("free of charge", "wholly free of any charge"),
              "under the İMİT license", "under the mit licence", "the apache license", f"{LONG} under the mit license {LONG}", "under the mit license " * 500, "für die mit lizenz"]
     rows = list(enumerate(texts)) + [(4, texts[4]), (None, texts[4])]
