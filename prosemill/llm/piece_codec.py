@@ -41,8 +41,22 @@ _CACHED = 600_000
 _M = (1 << 64) - 1
 
 
+_SHARED: dict[tuple, PieceCodec] = {}
+
+
+def _shared(*parameters) -> PieceCodec:
+    """One codec for each set of parameters in a process, so that a worker's next task finds its tables."""
+    if parameters not in _SHARED:
+        _SHARED[parameters] = PieceCodec(*parameters)
+    return _SHARED[parameters]
+
+
 class PieceCodec:
-    """Encoder and decoder of one model file, seed and dropout; pickles by its parameters."""
+    """Encoder and decoder of one model file, seed and dropout; pickles by its parameters.
+
+    Segments met lately are kept in two generations a lane: a full young one becomes the old one, and what is met
+    again moves to the young one.
+    """
 
     def __init__(self, path: str = MODEL, dropout: float = 0.0, seed: int = 0, lanes: int = 1):
         if not 0 <= dropout < 1 or lanes < 1:
@@ -50,8 +64,8 @@ class PieceCodec:
         self.path, self.dropout, self.seed, self.lanes = path, dropout, seed, lanes
         self.ready = False
 
-    def __getstate__(self):
-        return {"path": self.path, "dropout": self.dropout, "seed": self.seed, "lanes": self.lanes, "ready": False}
+    def __reduce__(self):
+        return _shared, (self.path, self.dropout, self.seed, self.lanes)
 
     def load(self) -> PieceCodec:
         """Reads the pieces, once per process."""
@@ -74,13 +88,22 @@ class PieceCodec:
             else:
                 self.ids[piece], self.scores[piece] = k, -model.get_score(k)
                 self.body.append(piece.replace(SPACE, " ").encode())
+        # Pairs of symbols that form a piece, by number; characters that are no piece have numbers behind the pieces.
+        number = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
+            number[c] = len(self.body) + len(number)
+        self.char = {c: k for c, k in number.items() if len(c) == 1}
+        pairs = sorted((number[a] << 32 | number[b], self.scores[p], k) for p, k in self.ids.items() for cut in range(1, len(p)) if (a := p[:cut]) in number and (b := p[cut:]) in number)
+        self.pair_keys = np.array([x[0] for x in pairs], np.int64)
+        self.pair_scores, self.pair_ids = np.array([x[1] for x in pairs]), np.array([x[2] for x in pairs], np.int64)
         within = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not within else "(?s).+")
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         if not within and "\n" not in joined:
             self.segments = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.literal = np.array([self.bytes_[b] for b in SPACE.encode()], "<i4").tobytes()
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.lanes)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.lanes)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.lanes)]
         self.limit = int(self.dropout * (1 << 64))
         self.ready = True
         return self
@@ -121,28 +144,106 @@ class PieceCodec:
                     out.append(k)
         return array("i", out).tobytes()
 
-    def encode(self, text: str, doc_id: int | None = None) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
+    def _bulk(self, texts: list[str], lane: int) -> None:
+        """``_segment`` of many short segments at once: the same merges in the same order, a round for all segments."""
+        n, width = len(texts), max(map(len, texts))
+        lengths = np.fromiter(map(len, texts), np.int64, n)
+        symbol = np.full((n, width), -1, np.int64)
+        inside = np.arange(width) < lengths[:, None]
+        symbol[inside] = np.fromiter((self.char.get(c, -1) for t in texts for c in t), np.int64, int(lengths.sum()))
+        foreign = ((symbol < 0) & inside).any(axis=1)
+        # neighbours of each symbol by the place of its first character; a symbol merged away is -1
+        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        key = np.fromiter((xxhash.xxh64_intdigest(t.encode(), (self.seed * 1_000_003 + lane) & _M) for t in texts), np.uint64, n) if self.limit else np.zeros(n, np.uint64)
+        made = np.zeros((n, width), np.int64)
+
+        def pair(row: np.ndarray, k: np.ndarray) -> np.ndarray:
+            """Score of what symbol k and the next one form; infinite where nothing, or skipped. Notes the piece."""
+            j = after[row, k]
+            last = np.minimum(j, width - 1)
+            a, b = symbol[row, k], symbol[row, last]
+            want = np.where((j < width) & (a >= 0) & (b >= 0), a << 32 | b, -1)
+            place = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
+            good = self.pair_keys[place] == want
+            if self.limit:
+                end = np.minimum(after[row, last], lengths[row])
+                with np.errstate(over="ignore"):
+                    z = (key[row] + (k.astype(np.uint64) << np.uint64(8)) + (end - k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    good &= (z ^ z >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >= np.uint64(self.limit)
+            made[row, k] = self.pair_ids[place]
+            return np.where(good, self.pair_scores[place], np.inf)
+
+        score = np.full((n, width), np.inf)
+        rows, cols = np.nonzero(inside)
+        score[rows, cols] = pair(rows, cols)
+        live = np.arange(n)
+        while len(live):
+            best = score[live].argmin(axis=1)
+            more = score[live, best] < np.inf
+            live, best = live[more], best[more]
+            if not len(live):
+                break
+            gone = after[live, best]
+            symbol[live, best], symbol[live, gone], score[live, gone] = made[live, best], -1, np.inf
+            after[live, best] = nxt = after[live, gone]
+            back = nxt < width
+            before[live[back], nxt[back]] = best[back]
+            score[live, best] = pair(live, best)
+            prv = before[live, best]
+            left = prv >= 0
+            score[live[left], prv[left]] = pair(live[left], prv[left])
+        order = np.argsort(symbol < 0, axis=1, kind="stable")
+        final = np.take_along_axis(symbol, order, 1)
+        young, sizes = self.young[lane], (4 * (final >= 0).sum(axis=1)).tolist()
+        foreign |= (final >= len(self.body)).any(axis=1)  # a character that is no piece: bytes take its place
+        whole, step = final.astype("<i4").tobytes(), 4 * width
+        young.update((t, whole[k * step : k * step + sizes[k]]) for k, t in enumerate(texts))
+        for k in np.nonzero(foreign)[0]:
+            young[texts[k]] = self._segment(texts[k], lane)
+
+    def encode_many(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes | None]:
+        """Ids of whole texts as little-endian 32-bit integers; None for null."""
         self.load()
-        lane = 0 if self.lanes == 1 or doc_id is None else xxhash.xxh64_intdigest(str(doc_id), self.seed & _M) % self.lanes
-        cache = self.caches[lane]
-        out: list[bytes] = []
-        if not text:
-            return b""
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out.append(self.literal)
-            found = self.segments.findall((SPACE if not k else "") + part.replace(" ", SPACE))
-            if len(cache) > _CACHED // self.lanes:
-                cache.clear()
-            for s in found:
-                ids = cache.get(s)
-                if ids is None:
-                    ids = self._segment(s, lane)
-                    if len(s) <= 64:
-                        cache[s] = ids
-                out.append(ids)
-        return b"".join(out)
+        cut: list = []
+        for text, doc_id in zip(texts, doc_ids, strict=True):
+            lane = 0 if self.lanes == 1 or doc_id is None else xxhash.xxh64_intdigest(str(doc_id), self.seed & _M) % self.lanes
+            cut.append(None if text is None else (lane, [self.segments.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []))
+        for lane in range(self.lanes):
+            young, old = self.young[lane], self.old[lane]
+            if len(young) > _CACHED // (2 * self.lanes):
+                self.old[lane], self.young[lane] = old, young = young, {}
+            fresh = {s for x in cut if x and x[0] == lane for part in x[1] for s in part if s not in young}
+            short: dict[int, list[str]] = {}
+            for s in fresh:
+                if (ids := old.get(s)) is not None:
+                    young[s] = ids
+                elif 2 <= len(s) <= 32:
+                    short.setdefault((len(s) - 1) // 4, []).append(s)
+            for group in short.values():
+                for k in range(0, len(group), 8192):
+                    self._bulk(group[k : k + 8192], lane)
+        out: list[bytes | None] = []
+        for x in cut:
+            if x is None:
+                out.append(None)
+                continue
+            young, parts = self.young[x[0]], []
+            for k, found in enumerate(x[1]):
+                if k:
+                    parts.append(self.literal)
+                for s in found:
+                    ids = young.get(s)
+                    if ids is None:
+                        ids = self._segment(s, x[0])
+                        if len(s) == 1:
+                            young[s] = ids
+                    parts.append(ids)
+            out.append(b"".join(parts))
+        return out
+
+    def encode(self, text: str, doc_id: int | None = None) -> bytes:
+        """Ids of one whole text."""
+        return self.encode_many([text], [doc_id])[0]
 
     def decode(self, ids: bytes | np.ndarray | list[int]) -> str:
         """The text of ids; undoes ``encode``."""
@@ -164,7 +265,7 @@ def encode(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 piece = batch.slice(k, 1000)
-                got = [None if t is None else codec.encode(t, i) for i, t in zip(piece.column(at_id).to_pylist(), piece.column(at_text).to_pylist(), strict=True)]
+                got = codec.encode_many(piece.column(at_text).to_pylist(), piece.column(at_id).to_pylist())
                 ends = np.cumsum([0, *(0 if g is None else len(g) // 4 for g in got)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(g for g in got if g), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([g is None for g in got], pa.bool_()))
@@ -194,11 +295,12 @@ def digest(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            coded = (x for k in range(0, len(texts), 1000) for x in codec.encode_many(texts[k : k + 1000], ids_[k : k + 1000]))
+            for i, t, ids in zip(ids_, texts, coded, strict=True):
                 if t is None:
                     rows.append((i, None, None, None, None, True))
                     continue
-                ids = codec.encode(t, i)
                 back = codec.decode(ids)
                 rows.append((i, len(t), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
