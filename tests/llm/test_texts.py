@@ -97,8 +97,8 @@ def test_mix(rows_of):
     assert mixing.mix_sources(rows_of([])).count() == 0
 
 
-def codec(**options):
-    return piece_codec.PieceCodec(**options)
+def codec(dropout=0.0, seed=0, lanes=1):
+    return piece_codec._shared(piece_codec.MODEL, dropout, seed, lanes)
 
 
 TEXTS = ["hello world", "  a  b ", " ", "x\ny", "\n\n a\n  b", "é́漢字🙂ﬁ ①", "a" * 3000, " " * 37 + "x", "\t\tif x:\n\t  y", "▁", "a▁b ▁▁c", "<s>x</s>", "\u0000\x7f", "naïve Übergrößenträger"]
@@ -123,7 +123,13 @@ def test_dropout_varies_by_seed_only():
     one, same, other = (codec(dropout=0.3, seed=s).encode(text) for s in (1, 1, 2))
     assert one == same != other and codec().encode(text) != one
     with pytest.raises(ValueError):
-        codec(dropout=1.0)
+        piece_codec.PieceCodec(dropout=1.0)
+
+
+def test_bulk_merges_equal_single_ones():
+    c = codec(dropout=0.3, seed=5, lanes=2)
+    c.encode_many([f"{t} {t}x internationalization 漢漢 naïveté" for t in TEXTS], list(range(len(TEXTS))))
+    assert all(c._segment(s, lane) == ids for lane in (0, 1) for s, ids in c.young[lane].items()) and any(c.young)
 
 
 def test_codec_frames(rows_of):
