@@ -170,12 +170,12 @@ def test_languages(rows_of):
     assert [r._x_lang_pred for r in language_id.detect_languages(rows_of([(1, "x")]), nothing, prefix="_x_").collect()] == ["und"]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(st.integers(-40, 0), min_size=3, max_size=3), min_size=1, max_size=7))
 def test_viterbi_is_the_best_path(scores):
     import itertools
 
-    e, penalty = np.array(scores, np.float32), 12.0
+    e, penalty = np.array(scores, np.float32), 25.0
     value = lambda p: sum(e[k, x] for k, x in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:], strict=False))
     best = max(value(p) for p in itertools.product(range(3), repeat=len(e)))
     assert value(language_id.viterbi(e, penalty).tolist()) == pytest.approx(best)
