@@ -11,11 +11,11 @@ The ``SKETCH`` smallest hashes are its sketch; a sketch of a smaller set is the
    yields frequent values, which come last and mostly need no list.
 3. Inside a list the union sketch of two sets estimates their overlap; a pair with fewer
    than ``OVERLAP`` of the union's k smallest values in common is dropped. At a true
-   similarity of 0.85 that happens with a probability below 1e-10 a pair.
+   similarity of 0.85 that happens with a probability below 1e-10 a pair, at 0.80 below 1e-8.
 4. Round one verifies for each set the pair with its best smaller candidate. Round two
    verifies every remaining candidate pair whose ends aren't connected yet, so no link
    between components is lost, while a large family of copies isn't expanded into all
-   of its pairs. Verification compares full sets: 100 * intersection >= 85 * union.
+   of its pairs. Verification compares full sets: 100 * intersection >= percent * union.
 5. Components of verified links; all documents of a collapsed set share its component.
 
 Sets are compared by 64-bit hashes of shingles; two different shingles of one pair agree

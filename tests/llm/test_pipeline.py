@@ -55,3 +55,24 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "unused")
     assert docs.count() == 0
+
+
+def test_near_copies_from_80_percent_go(spark):
+    from test_dedup import roots, shingles
+
+    r = random.Random(3)
+    rows = []
+    for base in range(90):
+        words = [f"w{base}x{r.randint(0, 10**6)}" for _ in range(r.choice([20, 60, 200]))]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words[: round(len(words) * r.uniform(0.75, 0.9))])))
+    rows += [(len(rows) + k, " ".join(f"exact{n}" for n in range(24 - 4 * k))) for k in range(2)]
+    sets = [shingles(t) for _, t in rows]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(rows)) for b in range(a)}
+    root = roots(len(rows), [pair for pair, x in alike.items() if x >= 0.8])
+    low = {}
+    for k, x in enumerate(root):
+        low[x] = min(low.get(x, k), k)
+    docs = spark.createDataFrame([(*x, "en", "a", len(x[1])) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 20 and any(x == 0.8 for x in alike.values())
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "unused").collect()} == set(low.values())
