@@ -11,11 +11,11 @@ the stages' own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm import exact_dedup, language_id, mixing, near_dedup, piece_codec
-from prosemill.llm.common import table
+from prosemill.llm.common import NULL_ID, table
 
 #: SQL can't express the classifier, the balanced sample or the codec; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -62,7 +62,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: doc_id, lang, source, the piece ids of each text and how many there are."""
     codec = piece_codec.PieceCodec(piece_codec.MODEL, piece_codec.DROPOUT, seed=1, lanes=piece_codec.LANES)
-    coded = piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), codec)
+    # The copies that the mix took of a document are numbered, so that each has a segmentation of its own.
+    same = Window.partitionBy(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "text")).orderBy("doc_id")
+    numbered = docs.select("doc_id", "lang", "source", "text", F.row_number().over(same).alias("_stage_copy"))
+    coded = piece_codec.encode(numbered, codec, copy_col="_stage_copy")
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids")
 
 

@@ -2,18 +2,22 @@
 
 The pieces and scores of a merge-type model drive an agenda: pairs of neighbouring symbols
 that form a piece, best score first, leftmost on ties. Each candidate that comes up is skipped
-with probability ``dropout``, decided by a keyed hash of the seed, the document's lane, the
-segment and the candidate's place. The same seed gives the same segmentation in any run and
-on any executor; another seed, or another lane, gives other ones. Symbols that are no piece fall back
-to bytes. At dropout 0 the result is the library's own encoding.
-
-No piece of the model spans the start of a word, so a text is cut into segments there, and
-segments that come again are looked up. Decoding joins bytes, so it inverts every segmentation.
+with probability ``dropout``, decided by a keyed hash of the seed, the document's id, the segment's
+position in the document and the candidate's number in the order of coming up. So each occurrence of
+a word has decisions of its own, and its segmentations vary without a bound. The same seed gives the
+same segmentation in any run and on any executor; another seed gives other ones. Symbols that are no piece
+fall back to bytes. At dropout 0 the result is the library's own encoding.
+
+No piece of the model spans the start of a word, so a text is cut into segments there. What
+comes of a segment depends on the numbers of its skipped candidates alone; segments that come again with
+the same skips are looked up. With ``lanes``, documents share that many sets of decisions
+instead, and a segment has one segmentation a lane. Decoding joins bytes, so it inverts every segmentation.
 The sign that stands for a space inside pieces (U+2581) goes through byte pieces where a text
 itself holds it: texts come back unchanged.
 
-Cases: a null text has null ids, and decodes to null; an empty text has none. A null doc_id is in
-lane 0. Very long words take n log n steps. Repeated rows are encoded alike. Empty table: no
+Cases: a null text has null ids, and decodes to null; an empty text has none. A null doc_id is an id
+like any other (in lane 0). Very long words take n log n steps. Repeated rows are encoded alike, unless
+``encode`` is given a column that numbers them. Empty table: no
 rows. Extra columns stay in ``encode``; one of a name that is added is an error unless a prefix is given.
 The model file's path is a parameter and has to be readable on every executor.
 """
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -36,11 +41,21 @@ from prosemill.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
-DROPOUT, LANES = 0.1, 2
-_CACHED = 600_000
+DROPOUT, LANES = 0.1, None
+_CACHED = 1_200_000
+_SHORT = 32
 _M = (1 << 64) - 1
 
 
+def _mixed(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Hash k of each key (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = keys + (k + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return z ^ z >> np.uint64(31)
+
+
 _SHARED: dict[tuple, PieceCodec] = {}
 
 
@@ -55,11 +70,11 @@ class PieceCodec:
     """Encoder and decoder of one model file, seed and dropout; pickles by its parameters.
 
     Segments met lately are kept in two generations a lane: a full young one becomes the old one, and what is met
-    again moves to the young one.
+    again moves to the young one. lanes: None for decisions of each occurrence; there is one cache then, by segment and skips.
     """
 
-    def __init__(self, path: str = MODEL, dropout: float = 0.0, seed: int = 0, lanes: int = 1):
-        if not 0 <= dropout < 1 or lanes < 1:
+    def __init__(self, path: str = MODEL, dropout: float = 0.0, seed: int = 0, lanes: int | None = 1):
+        if not 0 <= dropout < 1 or (lanes is not None and lanes < 1):
             raise ValueError("dropout has to lie in [0, 1) and lanes to be positive")
         self.path, self.dropout, self.seed, self.lanes = path, dropout, seed, lanes
         self.ready = False
@@ -93,6 +108,9 @@ class PieceCodec:
         for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
             number[c] = len(self.body) + len(number)
         self.char = {c: k for c, k in number.items() if len(c) == 1}
+        self.by_code = np.full(0x110000, -1, np.int32)
+        for c, k in self.char.items():
+            self.by_code[ord(c)] = k
         pairs = sorted((number[a] << 32 | number[b], self.scores[p], k) for p, k in self.ids.items() for cut in range(1, len(p)) if (a := p[:cut]) in number and (b := p[cut:]) in number)
         self.pair_keys = np.array([x[0] for x in pairs], np.int64)
         self.pair_scores, self.pair_ids = np.array([x[1] for x in pairs]), np.array([x[2] for x in pairs], np.int64)
@@ -102,29 +120,45 @@ class PieceCodec:
         if not within and "\n" not in joined:
             self.segments = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.literal = np.array([self.bytes_[b] for b in SPACE.encode()], "<i4").tobytes()
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.lanes)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.lanes)]
+        self.young: list[dict] = [{} for _ in range(self.lanes or 1)]
+        self.old: list[dict] = [{} for _ in range(self.lanes or 1)]
         self.limit = int(self.dropout * (1 << 64))
         self.ready = True
         return self
 
+    def _skipped(self, keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether candidates of number k are skipped, by the keys of their segments."""
+        return _mixed(keys, k) < np.uint64(self.limit)
+
+    def _lane_keys(self, texts: list[str], lane: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(t.encode(), (self.seed * 1_000_003 + lane) & _M) for t in texts), np.uint64, len(texts))
+
     def _segment(self, text: str, lane: int) -> bytes:
         """Ids of one segment as 32-bit integers."""
+        return self._merge(text, self._lane_skips(text, lane))[0]
+
+    def _lane_skips(self, text: str, lane: int) -> np.ndarray:
+        return self._skips_of(self._lane_keys([text], lane)[0], text)
+
+    def _skips_of(self, key: np.uint64, text: str) -> np.ndarray:
+        """Decisions about all candidates of one segment: two neighbours at first, two more at most for each merge."""
+        return self._skipped(np.full(3 * len(text), key), np.arange(3 * len(text), dtype=np.uint64))
+
+    def _merge(self, text: str, skip: np.ndarray | list[bool]) -> tuple[bytes, int]:
+        """Ids of one segment, and how many candidates came up; skip: by the candidate's number."""
         scores, symbols, n = self.scores, list(text), len(text)
         agenda = [(scores[p], k, k + 1, p) for k in range(n - 1) if (p := text[k : k + 2]) in scores]
+        met = 0
         if agenda:
             heapify(agenda)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            limit = self.limit
-            key = xxhash.xxh64_intdigest(text.encode(), (self.seed * 1_000_003 + lane) & _M) if limit else 0
             while agenda:
                 _, left, right, piece = heappop(agenda)
                 if not symbols[left] or not symbols[right] or symbols[left] + symbols[right] != piece:
                     continue
-                if limit:
-                    z = (key + (left << 8) + len(piece)) * 0x9E3779B97F4A7C15 & _M
-                    if (z ^ z >> 29) * 0xBF58476D1CE4E5B9 & _M < limit:
-                        continue
+                met += 1
+                if skip[met - 1]:
+                    continue
                 symbols[left], symbols[right] = piece, ""
                 after[left] = nxt = after[right]
                 if nxt < n:
@@ -142,34 +176,29 @@ class PieceCodec:
                     out.extend(self.bytes_[b] for b in s.encode())
                 else:
                     out.append(k)
-        return array("i", out).tobytes()
+        return array("i", out).tobytes(), met
 
-    def _bulk(self, texts: list[str], lane: int) -> None:
-        """``_segment`` of many short segments at once: the same merges in the same order, a round for all segments."""
+    def _bulk(self, texts: list[str], skip: np.ndarray) -> list[tuple[bytes, int]]:
+        """``_merge`` of many short segments at once: the same merges in the same order, a round for all segments."""
         n, width = len(texts), max(map(len, texts))
         lengths = np.fromiter(map(len, texts), np.int64, n)
         symbol = np.full((n, width), -1, np.int64)
         inside = np.arange(width) < lengths[:, None]
-        symbol[inside] = np.fromiter((self.char.get(c, -1) for t in texts for c in t), np.int64, int(lengths.sum()))
+        symbol[inside] = self.by_code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
         foreign = ((symbol < 0) & inside).any(axis=1)
         # neighbours of each symbol by the place of its first character; a symbol merged away is -1
         after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
-        key = np.fromiter((xxhash.xxh64_intdigest(t.encode(), (self.seed * 1_000_003 + lane) & _M) for t in texts), np.uint64, n) if self.limit else np.zeros(n, np.uint64)
+        met = np.zeros(n, np.int64)
         made = np.zeros((n, width), np.int64)
 
         def pair(row: np.ndarray, k: np.ndarray) -> np.ndarray:
-            """Score of what symbol k and the next one form; infinite where nothing, or skipped. Notes the piece."""
+            """Score of what symbol k and the next one form; infinite where nothing. Notes the piece."""
             j = after[row, k]
             last = np.minimum(j, width - 1)
             a, b = symbol[row, k], symbol[row, last]
             want = np.where((j < width) & (a >= 0) & (b >= 0), a << 32 | b, -1)
             place = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
             good = self.pair_keys[place] == want
-            if self.limit:
-                end = np.minimum(after[row, last], lengths[row])
-                with np.errstate(over="ignore"):
-                    z = (key[row] + (k.astype(np.uint64) << np.uint64(8)) + (end - k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    good &= (z ^ z >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >= np.uint64(self.limit)
             made[row, k] = self.pair_ids[place]
             return np.where(good, self.pair_scores[place], np.inf)
 
@@ -183,31 +212,115 @@ class PieceCodec:
             live, best = live[more], best[more]
             if not len(live):
                 break
-            gone = after[live, best]
-            symbol[live, best], symbol[live, gone], score[live, gone] = made[live, best], -1, np.inf
-            after[live, best] = nxt = after[live, gone]
+            out = skip[live, met[live]]
+            met[live] += 1
+            score[live[out], best[out]] = np.inf
+            row, best = live[~out], best[~out]
+            gone = after[row, best]
+            symbol[row, best], symbol[row, gone], score[row, gone] = made[row, best], -1, np.inf
+            after[row, best] = nxt = after[row, gone]
             back = nxt < width
-            before[live[back], nxt[back]] = best[back]
-            score[live, best] = pair(live, best)
-            prv = before[live, best]
+            before[row[back], nxt[back]] = best[back]
+            score[row, best] = pair(row, best)
+            prv = before[row, best]
             left = prv >= 0
-            score[live[left], prv[left]] = pair(live[left], prv[left])
+            score[row[left], prv[left]] = pair(row[left], prv[left])
         order = np.argsort(symbol < 0, axis=1, kind="stable")
         final = np.take_along_axis(symbol, order, 1)
-        young, sizes = self.young[lane], (4 * (final >= 0).sum(axis=1)).tolist()
+        sizes = (4 * (final >= 0).sum(axis=1)).tolist()
         foreign |= (final >= len(self.body)).any(axis=1)  # a character that is no piece: bytes take its place
         whole, step = final.astype("<i4").tobytes(), 4 * width
-        young.update((t, whole[k * step : k * step + sizes[k]]) for k, t in enumerate(texts))
+        found = [(whole[k * step : k * step + sizes[k]], m) for k, m in enumerate(met.tolist())]
         for k in np.nonzero(foreign)[0]:
-            young[texts[k]] = self._segment(texts[k], lane)
-
-    def encode_many(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes | None]:
-        """Ids of whole texts as little-endian 32-bit integers; None for null."""
+            found[k] = self._merge(texts[k], skip[k])
+        return found
+
+    def _segments_of(self, text: str) -> list[list[str]]:
+        """Segments of each part between the signs that stand for a space."""
+        return [self.segments.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []
+
+    def _variants(self, wanted: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
+        """Ids and number of candidates of short segments with skips (bit k: candidate k is skipped), from the cache or merged."""
+        if len(self.young[0]) > _CACHED // 2:
+            self.old[0], self.young[0] = self.young[0], {}
+        young, old = self.young[0], self.old[0]
+        groups: dict[int, list[tuple[str, int]]] = {}
+        for w in wanted:
+            if w not in young:
+                if (got := old.get(w)) is not None:
+                    young[w] = got
+                else:
+                    groups.setdefault((len(w[0]) - 1) // 4, []).append(w)
+        for group in groups.values():
+            for k in range(0, len(group), 8192):
+                some = group[k : k + 8192]
+                width = 3 * max(len(s) for s, _ in some)
+                skip = np.zeros((len(some), width), bool)
+                for row, (_, mask) in enumerate(some):
+                    while mask:
+                        skip[row, (mask & -mask).bit_length() - 1] = True
+                        mask &= mask - 1
+                young.update(zip(some, self._bulk([s for s, _ in some], skip) if len(some) > 40 else [self._merge(s, skip[row]) for row, (s, _) in enumerate(some)], strict=True))
+        return [young[w] for w in wanted]
+
+    def _encode_freely(self, texts: list[str | None], names: list[str]) -> list[bytes | None]:
+        """Ids of texts where each occurrence of a segment has its own decisions; names: what the documents' keys are made of."""
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        flat: list[int] = []
+        ends = [0]
+        for text in texts:
+            for k, found in enumerate(self._segments_of(text) if text else ()):
+                if k:
+                    flat.append(number[""])  # the sign itself
+                flat.extend(map(number.__getitem__, found))
+            ends.append(len(flat))
+        node, sizes = np.array(flat, np.int64), np.diff(ends)
+        start = np.repeat(ends[:-1], sizes)
+        keys = np.repeat(np.fromiter((xxhash.xxh64_intdigest(x, self.seed & _M) for x in names), np.uint64, len(names)), sizes)
+        keys = _mixed(keys, (np.arange(len(flat)) - start).astype(np.uint64))
+        # A node is a segment with skips: first each segment with none, then what an occurrence's skips lead to.
+        variants = [(s, 0) for s in number]
+        short = [k for k, (s, _) in enumerate(variants) if 0 < len(s) <= _SHORT]
+        ids, met = [self.literal] * len(variants), np.zeros(len(variants), np.int64)
+        for k, (found, m) in zip(short, self._variants([variants[k] for k in short]), strict=True):
+            ids[k], met[k] = found, m
+        at = np.arange(len(flat)) if self.limit else np.arange(0)
+        k = np.zeros(len(at), np.int64)
+        while len(at):
+            most = met[node[at]]
+            first, live = np.full(len(at), -1), np.nonzero(k < most)[0]
+            while len(live):
+                hit = self._skipped(keys[at[live]], k[live].astype(np.uint64))
+                first[live[hit]] = k[live[hit]]
+                live = live[~hit]
+                k[live] += 1
+                live = live[k[live] < most[live]]
+            at, first = at[first >= 0], first[first >= 0]
+            codes, place = np.unique(node[at] * (3 * _SHORT) + first, return_inverse=True)
+            fresh = [(variants[p][0], variants[p][1] | 1 << c) for p, c in zip(*(x.tolist() for x in np.divmod(codes, 3 * _SHORT)), strict=True)]
+            node[at] = len(variants) + place
+            variants += fresh
+            found = self._variants(fresh)
+            ids += [x for x, _ in found]
+            met = np.concatenate([met, np.fromiter((m for _, m in found), np.int64, len(found))])
+            k = first + 1
+        parts = [ids[k] for k in node.tolist()]
+        long = np.array([len(s) > _SHORT for s in number], bool)
+        for k in np.nonzero(long[flat])[0].tolist() if long.any() else ():
+            s = variants[flat[k]][0]
+            parts[k] = self._merge(s, self._skips_of(keys[k], s).tolist())[0]
+        return [None if t is None else b"".join(parts[a:b]) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+
+    def encode_many(self, texts: list[str | None], doc_ids: list[int | None], copies: list[int] | None = None) -> list[bytes | None]:
+        """Ids of whole texts as little-endian 32-bit integers; None for null. copies: numbers of rows that share an id and vary."""
         self.load()
+        if self.lanes is None:
+            return self._encode_freely(texts, [f"{i}/{c}" for i, c in zip(doc_ids, copies or [1] * len(texts), strict=True)])
         cut: list = []
         for text, doc_id in zip(texts, doc_ids, strict=True):
             lane = 0 if self.lanes == 1 or doc_id is None else xxhash.xxh64_intdigest(str(doc_id), self.seed & _M) % self.lanes
-            cut.append(None if text is None else (lane, [self.segments.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []))
+            cut.append(None if text is None else (lane, self._segments_of(text)))
         for lane in range(self.lanes):
             young, old = self.young[lane], self.old[lane]
             if len(young) > _CACHED // (2 * self.lanes):
@@ -217,11 +330,14 @@ class PieceCodec:
             for s in fresh:
                 if (ids := old.get(s)) is not None:
                     young[s] = ids
-                elif 2 <= len(s) <= 32:
+                elif 2 <= len(s) <= _SHORT:
                     short.setdefault((len(s) - 1) // 4, []).append(s)
             for group in short.values():
                 for k in range(0, len(group), 8192):
-                    self._bulk(group[k : k + 8192], lane)
+                    some = group[k : k + 8192]
+                    width = 3 * max(map(len, some))
+                    skip = self._skipped(np.repeat(self._lane_keys(some, lane)[:, None], width, 1), np.arange(width, dtype=np.uint64)[None, :])
+                    young.update((s, ids) for s, (ids, _) in zip(some, self._bulk(some, skip), strict=True))
         out: list[bytes | None] = []
         for x in cut:
             if x is None:
@@ -254,18 +370,19 @@ class PieceCodec:
         return b"".join(map(self.body.__getitem__, numbers))[1:].decode()
 
 
-def encode(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The rows of docs with piece_ids (array of int) added, under a name that starts with ``prefix``."""
+def encode(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", copy_col: str | None = None) -> DataFrame:
+    """The rows of docs with piece_ids (array of int) added, under a name that starts with ``prefix``; copy_col numbers rows that share an id."""
     name = f"{prefix}piece_ids"
     if name in docs.columns:
         raise ValueError(f"docs has a column {name}; give a prefix")
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    at_copy = None if copy_col is None else docs.columns.index(copy_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 piece = batch.slice(k, 1000)
-                got = codec.encode_many(piece.column(at_text).to_pylist(), piece.column(at_id).to_pylist())
+                got = codec.encode_many(piece.column(at_text).to_pylist(), piece.column(at_id).to_pylist(), None if at_copy is None else piece.column(at_copy).to_pylist())
                 ends = np.cumsum([0, *(0 if g is None else len(g) // 4 for g in got)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(g for g in got if g), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([g is None for g in got], pa.bool_()))

@@ -132,6 +132,24 @@ def test_bulk_merges_equal_single_ones():
     assert all(c._segment(s, lane) == ids for lane in (0, 1) for s, ids in c.young[lane].items()) and any(c.young)
 
 
+def test_each_occurrence_varies():
+    c, text = codec(dropout=0.3, seed=5, lanes=None), "internationalization"
+    got = {c.encode(text, k) for k in range(200)}
+    again = c.encode_many([" ".join([text] * 300)] * 2, [7, 7], [1, 2])
+    assert len(got) > 20 and again[0] != again[1] and len(again[0]) % 300 != 0
+    single = piece_codec.PieceCodec(piece_codec.MODEL, 0.3, 5, None)
+    for k, t in enumerate(TEXTS):
+        ids, key, at = b"", np.array([piece_codec.xxhash.xxh64_intdigest(f"{k}/1", 5)], np.uint64), 0
+        for n, part in enumerate(c._segments_of(t)):
+            for s in [None] * (n > 0) + part:
+                own = piece_codec._mixed(key, np.array([at], np.uint64))[0]
+                ids, at = ids + (c.literal if s is None else c._merge(s, c._skips_of(own, s))[0]), at + 1
+        assert ids == single.encode_many(TEXTS, list(range(len(TEXTS))))[k] and single.decode(ids) == t
+    plain = codec(dropout=0.0, seed=5, lanes=None)
+    assert plain.encode_many(TEXTS, list(range(len(TEXTS)))) == codec().encode_many(TEXTS, [None] * len(TEXTS))
+    assert piece_codec.LANES is None
+
+
 def test_codec_frames(rows_of):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(100, None), (101, ""), (102, LONG), (3, TEXTS[3]), (None, "x y")]
     c = codec(dropout=0.1, seed=1, lanes=2)
