@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[str]:
 
 def _buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size, and for whole words: (buckets, index of the word that each belongs to)."""
-    marked = [b"^" + w.encode()[:96] + b"$" for w in words]
+    marked = [b"^" + w.encode() + b"$" for w in words]
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     word = np.repeat(np.arange(len(words)), sizes)

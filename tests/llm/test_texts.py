@@ -169,6 +169,12 @@ def language_rows():
     return [(k, " ".join(r.choice(WORDS[lang].split()) for _ in range(25)), lang, "s") for k, lang in enumerate(["en", "de", "el"] * 50)]
 
 
+def test_words_count_to_their_end():
+    word = "漢字" * 40 + "終"
+    marked = len(word.encode()) + 2
+    assert [len(at) for _, at in language_id._buckets([word])] == [marked - n + 1 for n in range(1, 6)] + [1]
+
+
 def test_languages(rows_of):
     rows = language_rows()
     docs = rows_of([*rows, (800, "lost text", None, "s"), (801, None, "en", "s"), (None, "the river", "xx", "s")])
