@@ -43,3 +43,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_benchmark_times_all_operators():
+    import __spark_entry__
+    import bench
+
+    assert len(bench.HEADLINE) == 24 and {q for q in __spark_entry__.queries() if q.startswith("op")} <= set(bench.HEADLINE)
