@@ -140,6 +140,7 @@ QUERIES = {
     "diff_findings": lambda spark, d: V.compare_findings(_matched(ja(spark, d)), _matched(_edited(ja(spark, d)))),
     "diff_facts": lambda spark, d: V.compare_facts(_facts_before(spark, d), _facts_after(spark, d)).filter(F.col("kind").isin("latin", "katakana", "quoted")),
     "diff_fact_numbers": lambda spark, d: V.compare_facts(_facts_before(spark, d), _facts_after(spark, d)).filter("kind = 'number'"),
+    "diff_fact_urls_dates": lambda spark, d: V.compare_facts(_facts_before(spark, d), _facts_after(spark, d)).filter(F.col("kind").isin("url", "date")),
     "diff_shifts": lambda spark, d: _round(V.shifts(ja(spark, d), _edited(ja(spark, d)))),
     "facts_urls": _page_facts,
     "custom_rules": lambda spark, d: apply_custom(ja(spark, d), CUSTOM),

@@ -50,3 +50,35 @@ def test_the_benchmark_times_all_operators():
     import bench
 
     assert len(bench.HEADLINE) == 24 and {q for q in __spark_entry__.queries() if q.startswith("op")} <= set(bench.HEADLINE)
+
+
+def test_differences_of_urls_and_dates(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    from prosemill.plans import report_queries
+    from prosemill.plans.catalogue import QUERIES
+
+    before = [(1, "https://a.example/x と https://a.example/x と http://b.example 2024年1月5日 2024年1月5日 3月4日"), (2, "2023-10-11 https://c.example/y"), (3, None)]
+    after = [(1, "https://a.example/x 2024年1月5日 2025-02-03"), (2, "2023-10-11 https://c.example/z"), (4, "http://d.example 5月6日")]
+    kind = "doc_id bigint, text string"
+    monkeypatch.setattr(report_queries, "_facts_before", lambda s, d: spark.createDataFrame(before, kind))
+    monkeypatch.setattr(report_queries, "_facts_after", lambda s, d: spark.createDataFrame(after, kind))
+
+    def brute(rows):
+        n = Counter()
+        for i, t in rows:
+            n.update((i, "url", u) for u in re.findall(r"https?://\S+", t or ""))
+            found = re.findall(r"(?:(\d{4})[年-])?(\d{1,2})[月-](\d{1,2})", re.sub(r"https?://\S+", " ", t or ""))
+            n.update((i, "date", f"{y or '-'}-{int(m):02d}-{int(d):02d}") for y, m, d in found)
+        return n
+
+    b, a = brute(before), brute(after)
+    want = set()
+    for x in b | a:
+        if a[x] < b[x] if x[1] == "date" else b[x] and not a[x]:
+            want.add((*x, "removed", False))
+        elif not b[x]:
+            want.add((*x, "added", x[1] == "date"))
+    got = QUERIES["diff_fact_urls_dates"](spark, DATA).select("doc_id", "kind", "key", "status", "suspicious").collect()
+    assert len(got) == len(want) == 8 and set(map(tuple, got)) == want
