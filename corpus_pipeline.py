@@ -53,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: each document as often as the mix takes it, not at all or up to three times."""
-    # Rows of one doc_id have one number of copies here: each takes its share of the id's copies.
+    # Rows of one doc_id have one number of copies here: each takes the largest one drawn for the id.
     drawn = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_stage_id")).agg(F.max("copies").cast("int").alias("_stage_copies")).filter("_stage_copies > 0")
     taken = docs.join(drawn, docs.doc_id.eqNullSafe(F.col("_stage_id")))
     return taken.withColumn("_stage_copy", F.explode(F.sequence(F.lit(1), F.col("_stage_copies")))).select(*docs.columns)
