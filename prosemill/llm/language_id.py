@@ -2,7 +2,7 @@
 
 A word is a run of letters, lower-cased. Its score for a language is the log probability of its
 character n-grams (hashed to ``2**BITS`` buckets, smoothed) in that language's training texts.
-The script of a word's first letter admits only languages that write at least ``SCRIPT_SHARE``
+The script of most of a word's letters admits only languages that write at least ``SCRIPT_SHARE``
 of their letters in it; a script that no learned language uses says nothing. Viterbi with a
 penalty per switch labels each word, so a text of several languages falls into spans; the
 language with most letters is the prediction. The path that keeps one language is taken
@@ -10,8 +10,10 @@ without the search where no other language gains a penalty's worth on any run of
 them at the start and the end together, for then it is the best path.
 
 Training reads texts with a language outside the held-out fold: all of them while there are at
-most ``most_rows``, else a share chosen by a hash of the id (documented bound). Each task counts
-n-grams in one array of fixed size; a tree of sums adds the arrays.
+most ``most_rows``, else at most ``most_rows`` in expectation, chosen by a hash of the id (documented
+bound). Each language has an equal share of the bound, and what small ones leave goes to the others, so a
+rare language is learnt from all of its texts. Each task counts n-grams in one array of fixed
+size; a tree of sums adds the arrays.
 
 Score: the share of letters in spans of the predicted language, times how much likelier that
 language is over the whole text than the next one (1 - exp(-log odds)). Cases: a null text, or one
@@ -23,7 +25,6 @@ are predicted alike; ties go to the language that sorts first. An empty table gi
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,9 +51,15 @@ _STARTS = [a for a, _ in _RANGES]
 SCRIPTS = sorted({s for _, s in _RANGES})
 
 
-def script_of(letter: str) -> int:
-    """Number of a letter's script in ``SCRIPTS``."""
-    return SCRIPTS.index(_RANGES[bisect_right(_STARTS, ord(letter)) - 1][1])
+_OF_RANGE = np.array([SCRIPTS.index(s) for _, s in _RANGES])
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Signs of each word (rows) in each script of ``SCRIPTS``: every sign of a word counts, to its end."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    script = _OF_RANGE[np.searchsorted(_STARTS, codes, "right") - 1]
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    return np.bincount(word * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(-1, len(SCRIPTS))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -116,7 +123,7 @@ class LanguageModel:
         for bucket, word in _buckets(new):
             for k in range(len(self.langs)):
                 score[:, k] += np.bincount(word, weights=self.logs[bucket, k], minlength=len(new))
-        admitted = self.usual[:, [script_of(next(filter(str.isalpha, w))) for w in new]].T
+        admitted = self.usual[:, scripts_of(new).argmax(axis=1)].T
         score -= score.max(axis=1, keepdims=True)
         score = np.where(admitted.any(axis=1, keepdims=True), np.where(admitted, score, score - 100), 0)
         self.scores[at : at + len(new)] = np.maximum(score, -200)
@@ -189,8 +196,7 @@ def fit(training: DataFrame, langs: list[str]) -> LanguageModel:
                 n = np.fromiter(words.values(), np.float64, len(distinct))
                 for bucket, word in _buckets(distinct):
                     row[: 1 << BITS] += np.bincount(bucket, weights=n[word], minlength=1 << BITS)
-                scripts = [script_of(next(filter(str.isalpha, w))) for w in distinct]
-                row[1 << BITS :] += np.bincount(scripts, weights=n * np.array([len(w) for w in distinct]), minlength=len(SCRIPTS))
+                row[1 << BITS :] += n @ scripts_of(distinct)
         yield vector_row(total.reshape(-1))
 
     total = tree_sum(training.mapInArrow(count, "v binary"))
@@ -200,13 +206,24 @@ def fit(training: DataFrame, langs: list[str]) -> LanguageModel:
     return LanguageModel(langs, total[:, : 1 << BITS], total[:, 1 << BITS :])
 
 
+def quotas(rows: dict[str, int], most_rows: int) -> dict[str, int]:
+    """Training rows of each language: all where there is room, the rest shared evenly."""
+    out, left = {}, most_rows
+    for k, lang in enumerate(sorted(rows, key=lambda x: (rows[x], x))):
+        out[lang] = min(rows[lang], left // (len(rows) - k))
+        left -= out[lang]
+    return out
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: int = 1, folds: int = 3, most_rows: int = 30_000) -> LanguageModel:
     """Model of the languages of rows outside the held-out fold."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_fold))
     found = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
-    langs, n = sorted(r.lang for r in found), sum(r["count"] for r in found)
-    if n > most_rows:  # the documented bound
-        known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    rows = {r.lang: r["count"] for r in found}
+    langs = sorted(rows)
+    if sum(rows.values()) > most_rows:  # the documented bound
+        share = [x for lang, n in quotas(rows, most_rows).items() for x in (F.lit(lang), F.lit(-(-n * 1_000_000_000 // rows[lang])))]
+        known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000_000)) < F.element_at(F.create_map(*share), F.col(lang_col)))
     return fit(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), langs)
 
 

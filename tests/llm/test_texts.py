@@ -175,6 +175,28 @@ def test_words_count_to_their_end():
     assert [len(at) for _, at in language_id._buckets([word])] == [marked - n + 1 for n in range(1, 6)] + [1]
 
 
+def test_scripts_and_quotas():
+    greek, latin = (language_id.SCRIPTS.index(x) for x in ("Greek", "Latin"))
+    counts = language_id.scripts_of(["aσπίτι", "x", "καιabc" * 40])
+    assert counts[0, greek] == 5 and counts[0, latin] == 1 and counts.sum(axis=1).tolist() == [6, 1, 240] and counts[2, latin] == 120
+    assert language_id.quotas({"a": 5, "b": 1000, "c": 700}, 105) == {"a": 5, "c": 50, "b": 50}
+    assert language_id.quotas({"a": 5, "b": 7}, 100) == {"a": 5, "b": 7}
+
+
+def test_a_rare_language_is_learnt_from_all_its_texts(rows_of):
+    rows = [*language_rows(), *((1000 + k, "lorem ipsum dolor sit amet consectetur", "la", "s") for k in range(9))]
+    learnt = language_id.learn(rows_of(rows), most_rows=60)
+    whole = language_id.learn(rows_of(rows))
+    assert learnt.langs == whole.langs == ["de", "el", "en", "la"]
+    assert np.allclose(learnt.logs[:, 3], whole.logs[:, 3]) and not np.allclose(learnt.logs[:, 0], whole.logs[:, 0])
+    assert [x.lang_pred for x in language_id.detect_languages(rows_of([(1, "dolor sit amet", None, None)]).drop("score"), learnt).collect()] == ["la"]
+
+
+def test_languages_held_out_accuracy(spark):
+    got = language_id.op9_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
+    assert len(got) > 200 and sum(x.lang_pred == x.lang for x in got) >= 0.98 * len(got)
+
+
 def test_languages(rows_of):
     rows = language_rows()
     docs = rows_of([*rows, (800, "lost text", None, "s"), (801, None, "en", "s"), (None, "the river", "xx", "s")])
