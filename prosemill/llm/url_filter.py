@@ -44,24 +44,24 @@ research.institute.example.org/papers/44 weather.example.org/forecast/today reci
 www.school.example.org/timetable wiki.example.org/article/astronomy journal.medicine.example.org/volume/12
 science.example.net/en/article/6 maps.example.net/de/region history.example.net/en/rome music.example.net/en/jazz
 www.theatre.example.net/en/programme forum.cycling.example.net/en/thread/77 m.rivers.example.net/en/25
-www.hiking.example.org/trails/alps blog.tion.example.net/en/533 thering.example.org/en/328 ther.example.org/fr/414
-www.thern.example.org/en/471 blog.than.example.net/de/612 m.thou.example.org/es/797 therti.example.org/en/334
+www.hiking.example.org/trails/alps blog.station.example.net/en/533 gathering.example.org/en/328 theatre.example.org/fr/414
+www.southern.example.org/en/471 blog.orchard.example.net/de/612 m.thousand.example.org/es/797 concerts.example.org/en/334
 www.books.example.org/reviews/novel parliament.example.org/debates/2020 court.example.org/decisions/19
 physics.example.org/lectures/optics blog.teacher.example.org/lessons garden.example.org/plants/oak
-tha.example.net/en/770 blog.there.example.net/en/455 thin.example.org/de/671 www.thely.example.org/en/148
+harbour.example.net/en/770 blog.northern.example.net/en/455 violin.example.org/de/671 www.family.example.org/en/148
 """.split()
 _BAD = """
-spam-farm.example.org/en/728 www.cheap-pills.example.org/en/450 casino-bonus.example.org/win/now
+spam-site.example.org/en/728 www.cheap-pills.example.org/en/450 casino-bonus.example.org/win/now
 free-money.example.net/click/here hot-singles.example.org/chat buy-followers.example.net/order
 www.cheap-loans.example.org/apply/now pills-online.example.net/viagra/order spam-links.example.org/en/90
 best-casino.example.net/slots/free cheap-watches.example.org/replica/buy xxx-videos.example.org/watch
 adult-cams.example.net/live win-prizes.example.org/claim/iphone crypto-doubler.example.net/send
-blog.spam-farm.example.net/de/12 m.cheap-pills.example.net/en/33 download-crack.example.org/keygen
-www.spam-farm.example.net/fr/5 cheap-pills.example.org/de/71 torrent-free.example.org/movies/full
+blog.spam-shop.example.net/de/12 m.cheap-pills.example.net/en/33 download-crack.example.org/keygen
+www.spam-store.example.net/fr/5 cheap-pills.example.org/de/71 torrent-free.example.org/movies/full
 seo-links.example.net/backlinks/buy lottery-winner.example.org/claim miracle-diet.example.net/order/now
 payday-cash.example.org/fast casino-spins.example.net/en/bonus escort-city.example.org/girls
 phish-login.example.net/verify/account bank-secure-update.example.org/login/confirm cheap-meds.example.net/rx
-spam-farm.example.net/en/7 www.spam-farm.example.org/es/61 blog.cheap-pills.example.net/en/82 work-from-home-rich.example.org/join
+spam-page.example.net/en/7 www.spam-offers.example.org/es/61 blog.cheap-pills.example.net/en/82 work-from-home-rich.example.org/join
 """.split()
 #: The labelled URL table: (label, host, path); label 1 is to be blocked. The last row stands for urls without a host.
 LABELLED = (*((label, u.partition("/")[0], "/" + u.partition("/")[2]) for label, urls in ((0, _GOOD), (1, _BAD)) for u in urls), (0, "", ""))
