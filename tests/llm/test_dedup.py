@@ -7,6 +7,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prosemill.llm.components import connected_components
 from prosemill.llm.exact_dedup import RadixTrie, exact_dedup
@@ -37,7 +38,30 @@ def test_trie(pairs):
         trie.insert(key, owner, 1)
         low, n = want.get(key, (owner, 0))
         want[key] = (min(low, owner), n + 1)
-    assert {k: (t[0], t[1]) for k, t in trie.spill()} == want and trie.held == 0
+    half = trie.held // 2
+    some = list(trie.spill(half)) if half else []
+    assert trie.held <= half and trie.held == sum(trie.weight.values())
+    rest = list(trie.spill())
+    assert {k: (t[0], t[1]) for k, t in some + rest} == want and trie.held == 0 and len(some) + len(rest) == len(want)
+
+
+def test_trie_counts_nodes():
+    trie = RadixTrie()
+    for k in range(2000):
+        trie.insert(b"%04d" % k, k, 1)
+    assert trie.held > 2000 * 500
+
+
+def test_exact_by_row(rows_of):
+    rows = [(1, "a"), (2, "b"), (2, "a"), (None, "c"), (None, "c"), (5, "b"), (2, "b")]
+    docs = rows_of(rows, 1).withColumn("v", F.monotonically_increasing_id())
+    numbered = {r.v: (r.doc_id, r.text) for r in docs.collect()}
+    got = exact_dedup(docs, row_col="v").collect()
+    assert sorted(r.v for r in got) == sorted(numbered)
+    least = {}
+    for v, (i, t) in numbered.items():
+        least[t] = min(least.get(t, (1 << 63, 0)), ((1 << 63) - 1 if i is None else i, v))
+    assert {r.v for r in got if r.kept} == {v for _, v in least.values()}
 
 
 def test_exact(rows_of):
@@ -52,7 +76,7 @@ def test_exact(rows_of):
         ids = [x for x in groups[norm(t)] if x is not None]
         keep = min(ids, default=None)
         want.append((i, keep, len(groups[norm(t)]), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    for most in (32 << 20, 100):
+    for most in (64 << 20, 5000, 100):
         assert sorted(map(tuple, exact_dedup(rows_of(rows), most_bytes=most).collect()), key=str) == sorted(want, key=str)
     assert exact_dedup(rows_of([])).count() == 0
 
