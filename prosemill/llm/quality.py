@@ -3,8 +3,10 @@
 Document statistics (shares of letter kinds, signs, repeats, word and line shapes; see
 ``STATISTICS``) are standardised and mapped to random Fourier features, which approximate
 a Gaussian kernel. Each task sums its part of the normal equations and a tree of sums adds
-the parts; the driver solves one system of ``features`` unknowns. Scores of the training rows,
-counted in ``BINS`` bins by label, are calibrated by pooling adjacent violators.
+the parts; the driver solves one system of ``features`` unknowns. A fifth of the training rows, chosen by a
+hash of the id, isn't fitted on: its scores, counted in ``BINS`` bins by label, calibrate by pooling adjacent
+violators, with straight lines between the pools' centres. Where that fifth holds under
+``LEAST_CALIBRATION`` rows of either class, all training rows fit and calibrate.
 
 Training reads the labelled rows outside the held-out fold, at most ``most_rows`` of them in
 expectation (a hash of the id decides; documented bound). Labels, lang, source and doc_id are
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import Scratch, crc_mod, table, tree_sum, vector_row
 
 BINS = 1000
+LEAST_CALIBRATION = 20
 _KINDS = np.zeros(256, np.int64)
 _KINDS[ord("a") : ord("z") + 1] = 1
 _KINDS[ord("A") : ord("Z") + 1] = 2
@@ -100,6 +103,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return x, np.repeat(value, width)
 
 
+def knots(x: np.ndarray, fitted: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and value of each pool of equal fitted values."""
+    starts = np.nonzero(np.concatenate([[True], fitted[1:] != fitted[:-1]]))[0]
+    return np.add.reduceat(x * weight, starts) / np.add.reduceat(weight, starts), fitted[starts]
+
+
 def _texts(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches in pieces with the statistics of their texts."""
     for batch in batches:
@@ -122,8 +131,8 @@ class QualityModel:
         if self.features is None:
             return np.full(len(stats), self.base)
         raw = self.raw(stats)
-        # A small share of the ridge score keeps the order of texts within one step of the calibration.
-        return 0.98 * np.clip(np.interp(raw, self.x, self.y), 0, 1) + 0.02 * np.clip(raw, 0, 1)
+        # A millionth of the ridge score keeps the order of texts beyond the outermost pools.
+        return (1 - 1e-6) * np.clip(np.interp(raw, self.x, self.y), 0, 1) + 1e-6 * np.clip(raw, 0, 1)
 
 
 def _bin(raw: np.ndarray) -> np.ndarray:
@@ -131,24 +140,35 @@ def _bin(raw: np.ndarray) -> np.ndarray:
 
 
 def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: float = 1e-2, seed: int = 7) -> QualityModel:
-    """Fit on rows (text, y). Two passes over their statistics, which are written once to the shared folder."""
+    """Fit on rows (text, y, fold), fold 1 for calibration, else 0. Three passes over their statistics, which are written once to the shared folder."""
+
     def stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, s in _texts(batches):
-            yield pa.RecordBatch.from_arrays([piece.column("y").cast(pa.float64()), pa.array([r.tobytes() for r in s], pa.binary())], names=["y", "s"])
+            yield pa.RecordBatch.from_arrays([piece.column("y").cast(pa.float64()), piece.column("fold"), pa.array([r.tobytes() for r in s], pa.binary())], names=["y", "fold", "s"])
 
     def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             s = np.frombuffer(b"".join(batch.column("s").to_pylist())).reshape(-1, len(STATISTICS))
             yield s, batch.column("y").to_numpy(zero_copy_only=False)
 
+    def class_counts(batches):
+        total = np.zeros(4)
+        for batch in batches:
+            y, fold = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("y", "fold"))
+            total += np.bincount((2 * fold + (y > 0)).astype(np.int64), minlength=4)
+        yield vector_row(total)
+
     def moments(batches):
         total = np.zeros(2 + 2 * len(STATISTICS))
         for s, y in rows_in(batches):
             total += np.concatenate([[len(y), y.sum()], s.sum(axis=0), (s * s).sum(axis=0)])
         yield vector_row(total)
 
-    kept = Scratch(training.sparkSession, "quality").keep(training.mapInArrow(stats_rows, "y double, s binary"))
-    m = tree_sum(kept.mapInArrow(moments, "v binary"))
+    kept = Scratch(training.sparkSession, "quality").keep(training.select("text", "y", F.col("fold").cast("int").alias("fold")).mapInArrow(stats_rows, "y double, fold int, s binary"))
+    classes = tree_sum(kept.select("y", "fold").mapInArrow(class_counts, "v binary"))
+    apart = classes is not None and classes[2:].min() >= LEAST_CALIBRATION and classes[:2].min() > 0
+    fitted, calibrated = (kept.filter("fold = 0"), kept.filter("fold = 1")) if apart else (kept, kept)
+    m = tree_sum(fitted.mapInArrow(moments, "v binary"))
     if m is None or m[0] == 0 or m[1] in (0, m[0]):
         return QualityModel(None, None, 0.5 if m is None or m[0] == 0 else float(m[1] / m[0]))
     d = len(STATISTICS)
@@ -168,7 +188,7 @@ def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: flo
             b += f.T @ (y * w)
         yield vector_row(np.concatenate([a.reshape(-1), b]))
 
-    total = tree_sum(kept.mapInArrow(normal, "v binary"))
+    total = tree_sum(fitted.mapInArrow(normal, "v binary"))
     k = features + 1
     a, b = total[: k * k].reshape(k, k), total[k * k :]
     weights = np.linalg.solve(a + ridge * m[0] / k * np.eye(k), b)
@@ -182,9 +202,10 @@ def fit(training: DataFrame, features: int = 300, width: float = 3.0, ridge: flo
             np.add.at(n, (1, at), y)
         yield vector_row(n.reshape(-1))
 
-    n, ones = tree_sum(kept.mapInArrow(bins, "v binary")).reshape(2, BINS)
+    n, ones = tree_sum(calibrated.mapInArrow(bins, "v binary")).reshape(2, BINS)
     full = np.nonzero(n)[0]
-    model.x, model.y = isotonic((full + 0.5) / BINS * 2 - 0.5, ones[full] / n[full], n[full])
+    x, values = isotonic((full + 0.5) / BINS * 2 - 0.5, ones[full] / n[full], n[full])
+    model.x, model.y = knots(x, values, n[full])
     return model
 
 
@@ -195,7 +216,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if share > 1:  # the documented bound on training rows
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 / share))
     # Broadcast: (id, label) pairs, distinct, and never more than the bound on training rows in expectation.
-    training = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "y")
+    training = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).cast("int").alias("fold"))
     model = fit(training)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,50 @@ def test_isotonic():
     assert y.tolist() == [0.0, 0.75, 0.75, 1.0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(1, 9)), min_size=1, max_size=12))
+def test_isotonic_is_the_least_squares_fit(points):
+    y, w = np.array([p[0] for p in points]), np.array([float(p[1]) for p in points])
+    n = len(y)
+    mean = lambda a, b: np.average(y[a : b + 1], weights=w[a : b + 1])
+    # the known closed form: for each point the largest, over starts, of the smallest mean, over ends
+    want = [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+    got = quality.isotonic(np.arange(float(n)), y, w)[1]
+    assert np.allclose(got, want)
+    x, v = quality.knots(np.arange(float(n)), got, w)
+    assert (np.diff(x) > 0).all() and (np.diff(v) >= 0).all()
+
+
+def test_normal_equations_against_least_squares(spark):
+    r = random.Random(7)
+    words = ["the", "house", "River", "stands", "%%%", "NOW!!", "town.", "a"]
+    rows = [(" ".join(r.choice(words[: 4 + 4 * (k % 2)]) for _ in range(r.randint(1, 80))), float(k % 2 == 0), int(k % 5 == 0)) for k in range(400)]
+    model = quality.fit(spark.createDataFrame(rows, "text string, y double, fold int").repartition(5), features=40)
+    fit = [(t, y) for t, y, fold in rows if not fold]
+    stats, y = np.array([quality.statistics(t) for t, _ in fit]), np.array([y for _, y in fit])
+    assert np.allclose(model.features.mean, stats.mean(axis=0))
+    phi = model.features(stats)
+    w = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    ridge = 1e-2 * len(y) / phi.shape[1]
+    design = np.concatenate([phi * np.sqrt(w)[:, None], np.sqrt(ridge) * np.eye(phi.shape[1])])
+    want = np.linalg.lstsq(design, np.concatenate([y * np.sqrt(w), np.zeros(phi.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.weights, want, atol=1e-6)
+    apart = [(t, y) for t, y, fold in rows if fold]
+    bins = quality._bin(model.raw(np.array([quality.statistics(t) for t, _ in apart])))
+    seen = sorted(set(bins.tolist()))
+    label = np.array([y for _, y in apart])
+    n, ones = np.array([float((bins == k).sum()) for k in seen]), np.array([label[bins == k].sum() for k in seen])
+    x, v = quality.knots(*quality.isotonic((np.array(seen) + 0.5) / quality.BINS * 2 - 0.5, ones / n, n), n)
+    assert np.allclose(model.x, x) and np.allclose(model.y, v)
+
+
+def test_quality_held_out_accuracy(spark):
+    got = quality.op3_quality_classifier(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    assert len(got) > 500 and sum(x.predicted == x.quality for x in got) >= 0.98 * len(got)
+    # calibrated: the mean score is near the share of label 1
+    assert abs(sum(x.score for x in got) - sum(x.quality for x in got)) <= 0.02 * len(got)
+
+
 def base_places(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = [(k, label) for label, phrase in license_scan.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
