@@ -1,21 +1,26 @@
 """The corpus pipeline: five stages, each a training-data operator applied to what the stage before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. A driver may write each result as Parquet and read it again as the next stage's docs.
+``documents``. A driver may write each result as Parquet and read it again as the next stage's docs; ``run``
+does the same in the shared folder.
 
-Nulls and repeats: rows without a letter (null and empty texts too) are rejected by the first stage. Rows that
-share one doc_id and one text stay or go together. A null doc_id is an id like any other. An empty table stays
-empty. Extra columns of docs are carried along, whatever their names; names that start with ``_stage_`` are
-the stages' own.
+Decisions are taken and applied by row: a stage numbers rows by hashes of all their columns, so a number is
+the same whenever it is computed anew, and fully equal rows, which share one, are told apart by count alone.
+
+Nulls and repeats: rows without a letter (null and empty texts too) are rejected by the first stage. Of rows with
+equal texts one stays, that of the smallest doc_id (a null counts as the largest), also where ids are null or
+repeated. An empty table stays empty. Extra columns of docs are carried along, whatever their names; names that
+start with ``_stage_`` are the stages' own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from prosemill.llm import exact_dedup, language_id, mixing, near_dedup, piece_codec
-from prosemill.llm.common import NULL_ID, table
+from prosemill.llm.common import NULL_ID, Scratch, table
 
 #: SQL can't express the classifier, the balanced sample or the codec; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -25,10 +30,17 @@ LANGUAGES: tuple[str, ...] | None = None
 NEAR = 80
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``_stage_row``, a number made of all their columns."""
+    cells = [F.coalesce(F.xxhash64(F.lit(k), c), F.lit(0)) if not isinstance(f.dataType, MapType) else F.xxhash64(F.lit(k), F.to_json(c)) for k, (c, f) in enumerate(zip((docs[f"`{x}`"] for x in docs.columns), docs.schema, strict=True))]
+    return docs.withColumn("_stage_row", F.xxhash64(*cells))
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among the kept ones; null counts as an id."""
-    named = kept.select(F.col("doc_id").alias("_stage_id"))
-    return docs.join(named, docs.doc_id.eqNullSafe(F.col("_stage_id")), "left_semi")
+    """The rows of numbered docs whose number is among the kept ones; of fully equal rows one."""
+    among = docs.join(kept.select("_stage_row"), "_stage_row", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_stage_row").orderBy("_stage_row"))
+    return among.withColumn("_stage_copy", first).filter("_stage_copy = 1").drop("_stage_row", "_stage_copy")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +54,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of equal texts the one with the smallest doc_id stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    """Operator 6: of equal texts the row with the smallest doc_id stays."""
+    rows = _numbered(docs)
+    return _only(rows, exact_dedup.exact_dedup(rows, row_col="_stage_row").filter("kept")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near copies stays; near are 80 % and more, the contract's 85 % is op5's."""
-    return _only(docs, near_dedup.near_dedup(docs, percent=NEAR).filter("kept").select("doc_id"))
+    """Operator 5: of each group of near copies the row with the smallest doc_id stays; near are 80 % and more, the contract's 85 % is op5's."""
+    rows = _numbered(docs)
+    groups = near_dedup.near_dedup(rows, id_col="_stage_row", percent=NEAR).select(F.col("doc_id").alias("_stage_row"), F.col("component_id").alias("_stage_group"))
+    named = groups.join(rows.select("_stage_row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_stage_id")), "_stage_row")
+    least = named.groupBy("_stage_group").agg(F.min(F.struct("_stage_id", "_stage_row")).alias("_stage_least"))
+    return _only(rows, least.select("_stage_least._stage_row")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: each document as often as the mix takes it, not at all or up to three times."""
-    # Rows of one doc_id have one number of copies here: each takes the largest one drawn for the id.
-    drawn = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_stage_id")).agg(F.max("copies").cast("int").alias("_stage_copies")).filter("_stage_copies > 0")
-    taken = docs.join(drawn, docs.doc_id.eqNullSafe(F.col("_stage_id")))
-    return taken.withColumn("_stage_copy", F.explode(F.sequence(F.lit(1), F.col("_stage_copies")))).select(*docs.columns)
+    rows = _numbered(docs)
+    # Fully equal rows share out what the mix takes of them all.
+    drawn = mixing.mix_sources(rows, id_col="_stage_row").groupBy(F.col("doc_id").alias("_stage_row")).agg(F.sum("copies").alias("_stage_sum"), F.count("*").alias("_stage_rows")).filter("_stage_sum > 0")
+    place = F.row_number().over(Window.partitionBy("_stage_row").orderBy("_stage_row"))
+    taken = rows.withColumn("_stage_place", place).join(drawn, "_stage_row")
+    copies = F.floor(F.col("_stage_sum") / F.col("_stage_rows")) + (F.col("_stage_place") <= F.col("_stage_sum") % F.col("_stage_rows")).cast("int")
+    return taken.withColumn("_stage_copies", copies.cast("int")).filter("_stage_copies > 0").withColumn("_stage_copy", F.explode(F.sequence(F.lit(1), F.col("_stage_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +100,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.keep(docs)
     return docs

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from test_texts import WORDS
@@ -50,6 +51,40 @@ def test_stages(spark, tmp_path):
     assert len(final) == len(ids[3]) and all(codec.decode(r.piece_ids) == text[-1 if r.doc_id is None else r.doc_id] and r.n_pieces == len(r.piece_ids) for r in final)
 
 
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra map<string,int>"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), {"a": 1}) for i, t, s in rows], KIND).repartition(3)
+
+
+def test_decisions_apply_by_row(spark):
+    own = lambda k: " ".join(f"w{k}x{n}" for n in range(40))
+    rows = [(1, "a", "s"), (2, "b", "s"), (2, "a", "s"), (None, own(1), "s"), (None, own(2), "s"), (None, own(1), "t"), (7, own(2), "s"), (8, own(3), "s"), (8, own(3), "s"), (None, "c", "s"), (None, "c", "s")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, frame(spark, rows), "unused").collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (None, own(1)), (7, own(2)), (8, own(3)), (None, "c")], key=str)
+    near = [(5, own(1), "s"), (5, own(2), "s"), (5, own(1) + " more", "s"), (None, own(2) + " more", "s"), (None, own(4), "s"), (None, own(5), "s"), (None, own(4) + " x", "s"), (9, own(5) + " y", "s"), (11, own(6), "s"), (11, own(6), "s")]
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, near), "unused").collect()
+    by_group = lambda t: t.split("x")[0]
+    assert sorted((by_group(r.text), str(r.doc_id)) for r in left) == [("w1", "5"), ("w2", "5"), ("w4", "None"), ("w5", "9"), ("w6", "11")]
+
+
+def test_mix_takes_what_it_says(spark):
+    from prosemill.llm import mixing
+
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, 3, k]), " ".join(["w"] * r.randint(1, 50)), r.choice(["a", "b", "c"])) for k in range(200)]
+    rows += [(4, "same text here", "a")] * 9
+    docs = frame(spark, rows)
+    numbered = corpus_pipeline._numbered(docs)
+    said = {x.source: x.n for x in mixing.mix_sources(numbered, id_col="_stage_row").groupBy("source").agg({"taken": "sum"}).toDF("source", "n").collect()}
+    out = corpus_pipeline.mix(spark, docs, "unused").collect()
+    words = {}
+    for x in out:
+        words[x.source] = words.get(x.source, 0) + len(x.text.split())
+    assert words == said and max(Counter((x.doc_id, x.text, x.source) for x in out if x.doc_id != 4).values()) <= 3 * max(Counter(rows).values())
+
+
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
