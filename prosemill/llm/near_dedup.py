@@ -12,11 +12,19 @@ The ``SKETCH`` smallest hashes are its sketch; a sketch of a smaller set is the
 3. Inside a list the union sketch of two sets estimates their overlap; a pair with fewer
    than ``OVERLAP`` of the union's k smallest values in common is dropped. At a true
    similarity of 0.85 that happens with a probability below 1e-10 a pair, at 0.80 below 1e-8.
-4. Round one verifies for each set the pair with its best smaller candidate. Round two
-   verifies every remaining candidate pair whose ends aren't connected yet, so no link
-   between components is lost, while a large family of copies isn't expanded into all
-   of its pairs. Verification compares full sets: 100 * intersection >= percent * union.
-5. Components of verified links; all documents of a collapsed set share its component.
+4. Round one verifies for each set the pair with its best smaller candidate, which gives the components
+   of a first forest. Lists of over ``tile`` sets are handled in buckets, and their components are joined by
+   further rounds over one set a component.
+5. Round two covers all other candidate pairs, but for those inside one component. A list tells a pair only if
+   none of the smaller values that both sets are listed under told it before. Where two components have
+   ``MANY`` pairs or more, the pair of their centres and the pairs of members with their own centre are verified
+   first: Jaccard distance is a metric, so a pair whose centres lie too far apart is no link and needs no look.
+   The rest is verified. So no link between components is lost, while families of copies aren't
+   expanded into their pairs. Verification compares full sets: 100 * intersection >= percent * union.
+6. Components of verified links; all documents of a collapsed set share its component.
+
+Long lists are split in round two as well: sets of the commonest component and the others are cut into buckets, and
+tiles of two buckets each are tasks of bounded size; pairs inside the commonest component have no tile.
 
 Sets are compared by 64-bit hashes of shingles; two different shingles of one pair agree
 with a probability of about n^2 / 2^64.
@@ -44,6 +52,8 @@ from prosemill.llm.components import connected_components
 
 WORDS = 5
 SKETCH, OVERLAP = 32, 10
+#: Candidate pairs of two components from which their centres are compared first.
+MANY = 3
 _CACHED_WORDS = 300_000
 
 
@@ -99,76 +109,112 @@ def _least_overlap(n_shingles, share: float):
     return F.when(n_shingles < SKETCH, F.greatest(F.lit(1), F.ceil(n_shingles * F.lit(share)))).otherwise(F.lit(OVERLAP)).cast("int")
 
 
-def _overlaps(one: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each row of ``many``: values common with ``one`` among the k smallest of the union, k the smaller sketch's size."""
-    both = np.concatenate([np.broadcast_to(one, (len(many), len(one))), many], axis=1)
+_NONE = np.uint64(2**64 - 1)
+_BLOCK = 128
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """For each row of two matrices of values: how many are in both and among the ``most`` smallest of the union."""
+    both = np.concatenate([a, b], axis=1)
     both.sort(axis=1)
-    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.uint64(2**64 - 1))
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
     rank = np.cumsum(np.concatenate([np.ones((len(both), 1), bool), ~same], axis=1), axis=1)[:, 1:]  # rank among distinct values
-    return (same & (rank <= SKETCH)).sum(axis=1)
+    return (same & (rank <= most)).sum(axis=1)
+
+
+def _shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values that rows of a have in common with rows of b, for all pairs of rows."""
+    values, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    code = code.reshape(-1, a.shape[1])
+    grid = np.zeros((len(a) + len(b), len(values)), np.float32)
+    np.put_along_axis(grid, code, 1, axis=1)
+    grid[:, values == _NONE] = 0
+    return grid[: len(a)] @ grid[len(a) :].T
 
 
-def _lists(per_set_best: bool, share: float):
-    """Candidates from rows sorted by list value. Best: for each set its best smaller partner; else all pairs of different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32())])
+class _List:
+    """Sets of one list, or of one tile of it, in the order of their keys."""
 
-    def of_list(ids: list, parts: list, sizes: list, sketches: list[np.ndarray]) -> Iterator[list[tuple]]:
-        if len(ids) < 2:
-            return
-        order = np.argsort(np.array(ids))
-        ids_, part, n = np.array(ids)[order], np.array(parts)[order], np.array(sizes)[order]
-        m = np.full((len(ids), SKETCH), np.uint64(2**64 - 1))
+    def __init__(self, value: int, keys: list, parts: list, sizes: list, masks: list, sides: list, sketches: list[np.ndarray], share: float):
+        order = np.argsort(np.array(keys), kind="stable")
+        self.value, self.share = np.uint64(value & (2**64 - 1)), share
+        self.keys, self.parts, self.sizes, masks, self.sides = (np.array(x)[order] for x in (keys, parts, sizes, masks, sides))
+        self.values = np.full((len(keys), SKETCH), _NONE)
         for r, k in enumerate(order):
-            m[r, : len(sketches[k])] = sketches[k]
-        least = np.where(n < SKETCH, np.maximum(1, np.ceil(n * share - 1e-9)), OVERLAP)
-        out = []
-        for i in range(1, len(ids_)):
-            lo = 0
-            best = None
-            while lo < i:  # in blocks, so that a long list takes bounded memory
-                hi = min(i, lo + 4096)
-                fits = np.minimum(n[lo:hi], n[i]) >= share * np.maximum(n[lo:hi], n[i]) - 1e-9
-                if not per_set_best:
-                    fits &= part[lo:hi] != part[i]
-                at = np.nonzero(fits)[0]
-                if len(at):
-                    common = _overlaps(m[i], m[lo + at], n[lo + at])
-                    good = common >= np.minimum(least[lo + at], least[i])
-                    at, common = at[good], common[good]
-                    if len(at):
-                        if per_set_best:
-                            k = int(common.argmax())
-                            if best is None or common[k] > best[2]:
-                                best = (int(ids_[lo + at[k]]), int(ids_[i]), int(common[k]))
-                        else:
-                            out.extend((int(ids_[lo + k]), int(ids_[i]), int(c)) for k, c in zip(at, common, strict=True))
-                            if len(out) > 20000:
-                                yield out
-                                out = []
-                lo = hi
-            if best:
-                out.append(best)
-        if out:
-            yield out
+            self.values[r, : len(sketches[k])] = sketches[k]
+        # Values that a set is listed under and that come before this one.
+        listed = (masks[:, None] >> np.arange(SKETCH) & 1).astype(bool) & (self.values < self.value)
+        self.before = np.where(listed, self.values, _NONE)
+        self.least = np.where(self.sizes < SKETCH, np.maximum(1, np.ceil(self.sizes * share - 1e-9)), OVERLAP)
+
+    def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows i > j of candidates and their overlap, in blocks of i. every: of different components, each told in its first list alone."""
+        n = len(self.keys)
+        for a in range(0, n, _BLOCK):
+            for b in range(0, a + 1, _BLOCK):
+                i, j = np.meshgrid(np.arange(a, min(n, a + _BLOCK)), np.arange(b, min(n, b + _BLOCK)), indexing="ij")
+                fits = (j < i) & (np.minimum(self.sizes[i], self.sizes[j]) >= self.share * np.maximum(self.sizes[i], self.sizes[j]) - 1e-9)
+                if every:
+                    # side 2: pairs within the tile count as well
+                    fits &= (self.parts[i] != self.parts[j]) & ((self.sides[i] != self.sides[j]) | (self.sides[i] == 2))
+                if fits.sum() > 500:
+                    fits &= _shared_counts(self.values[a : a + _BLOCK], self.values[b : b + _BLOCK]) >= np.minimum(self.least[i], self.least[j])
+                i, j = i[fits], j[fits]
+                if not len(i):
+                    continue
+                common = _common(self.values[i], self.values[j], SKETCH)
+                good = common >= np.minimum(self.least[i], self.least[j])
+                i, j, common = i[good], j[good], common[good]
+                if every and len(i):
+                    new = _common(self.before[i], self.before[j], 2 * SKETCH) == 0
+                    i, j, common = i[new], j[new], common[new]
+                if len(i):
+                    yield i, j, common
+
+    def best(self) -> list[tuple]:
+        """For each set the candidate among smaller keys with the largest overlap: (a, b, overlap)."""
+        found: dict[int, tuple] = {}
+        for i, j, common in self.pairs(False):
+            for x, y, c in zip(i.tolist(), j.tolist(), common.tolist(), strict=True):
+                if c > found.get(x, (0, 0))[0]:
+                    found[x] = (c, y)
+        return [(int(self.keys[y]), int(self.keys[x]), c) for x, (c, y) in found.items()]
+
+
+def _lists(best: bool, share: float):
+    """Candidates from rows sorted by list and tile. best: for each set its best smaller partner; else all pairs between components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())] if best else [("a", pa.int64()), ("b", pa.int64()), ("part_a", pa.int64()), ("part_b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now: tuple | None = None
+        held: tuple = ([], [], [], [], [], [])
+
+        def told() -> Iterator[list[tuple]]:
+            if len(held[0]) < 2:
+                return
+            x = _List(now[0], *held, share)
+            if best:
+                yield x.best()
+                return
+            for i, j, _ in x.pairs(True):
+                yield list(zip(x.keys[j].tolist(), x.keys[i].tolist(), x.parts[j].tolist(), x.parts[i].tolist(), strict=True))
+
         rows: list[tuple] = []
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(7)
             flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            v, key, part, n = (batch.column(k).to_pylist() for k in range(4))
+            v, tile, key, part, n, mask, side = (batch.column(k).to_pylist() for k in range(7))
             for k in range(batch.num_rows):
-                if v[k] != now:
-                    for got in of_list(*held):
+                if (v[k], tile[k]) != now:
+                    for got in told():
                         rows.extend(got)
                         if len(rows) > 20000:
                             yield emit(rows, schema)
                             rows = []
-                    now, held = v[k], ([], [], [], [])
-                for to, x in zip(held, (key[k], part[k], n[k], flat[ends[k] : ends[k + 1]].copy()), strict=True):
+                    now, held = (v[k], tile[k]), ([], [], [], [], [], [])
+                for to, x in zip(held, (key[k], part[k], n[k], mask[k], side[k], flat[ends[k] : ends[k + 1]].copy()), strict=True):
                     to.append(x)
-        for got in of_list(*held):
+        for got in told():
             rows.extend(got)
             if len(rows) > 20000:
                 yield emit(rows, schema)
@@ -179,8 +225,8 @@ def _lists(per_set_best: bool, share: float):
 
 
 def _verify(percent: int, words: int):
-    """Links among pairs, from rows sorted by (a, role): the centre's text first, then its partners'."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Distance and link of pairs, from rows sorted by (a, role): the centre's text first, then its partners'."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, rows = _WordHashes(), []
@@ -192,17 +238,44 @@ def _verify(percent: int, words: int):
                 continue
             assert a == now, "a pair's centre is missing"
             both = len(np.intersect1d(centre, h, assume_unique=True))
-            if 100 * both >= percent * (len(centre) + len(h) - both):
-                rows.append((a, b))
+            whole = len(centre) + len(h) - both
+            rows.append((a, b, 1 - both / whole, 100 * both >= percent * whole))
+            if len(rows) >= 20000:
+                yield emit(rows, schema)
+                rows = []
         yield emit(rows, schema)
 
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
+def _tiled(lists: DataFrame, sizes: DataFrame, tile: int, best: bool) -> DataFrame:
+    """Rows of lists with tile and side. Long lists, those named in ``sizes``, go in buckets (best) or in tiles of two buckets."""
+    short = lists.join(sizes.select("v"), "v", "left_anti").withColumns({"tile": F.lit(0).cast("bigint"), "side": F.lit(2)})
+    bucket = lambda t: F.pmod(F.xxhash64("key"), t).cast("bigint")
+    if best:
+        long = lists.join(sizes, "v").withColumns({"tile": bucket(F.ceil(F.col("size") / tile)), "side": F.lit(2)})
+        return short.unionByName(long.select(short.columns))
+    here = lists.join(sizes.select("v", "size"), "v")
+    by_part = here.groupBy("v", "part").agg(F.count("*").alias("n_part"), F.first("size").alias("size"))
+    common = by_part.groupBy("v").agg(F.max(F.struct("n_part", "part")).alias("most"), F.first("size").alias("size"))
+    shape = common.select("v", F.col("most.part").alias("main"), F.ceil(F.col("most.n_part") / tile).alias("t_main"), F.ceil((F.col("size") - F.col("most.n_part")) / tile).alias("t_rest"))
+    long = here.join(shape, "v").filter("t_rest > 0")
+    in_main = F.col("part") == F.col("main")
+    own = F.when(in_main, bucket(F.col("t_main"))).otherwise(bucket(F.col("t_rest")))
+    upto = lambda t: F.sequence(F.lit(0).cast("bigint"), t - 1)
+    # kind 0: a bucket of the commonest component with one of the rest; kind 1: two buckets of the rest
+    place = lambda kind, x, y: F.lit(kind << 60).cast("bigint") + x * F.lit(1 << 30) + y
+    with_rest = F.transform(upto(F.col("t_rest")), lambda y: F.struct(place(0, F.col("own"), y).alias("tile"), F.lit(0).alias("side")))
+    with_main = F.transform(upto(F.col("t_main")), lambda x: F.struct(place(0, x, F.col("own")).alias("tile"), F.lit(1).alias("side")))
+    among = F.transform(upto(F.col("t_rest")), lambda y: F.struct(place(1, F.least(y, F.col("own")), F.greatest(y, F.col("own"))).alias("tile"), F.when(y == F.col("own"), 2).when(y > F.col("own"), 0).otherwise(1).alias("side")))
+    spread = long.withColumn("own", own).withColumn("to", F.explode(F.when(in_main, with_rest).otherwise(F.concat(with_main, among)))).withColumns({"tile": F.col("to.tile"), "side": F.col("to.side")})
+    return short.unionByName(spread.select(short.columns))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, tile: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; documents link at a Jaccard similarity of ``percent`` % or more.
 
-    percent: 80 or more; the sketch's error bounds are stated for that range.
+    percent: 80 or more; the sketch's error bounds are stated for that range. tile: sets that one bucket of a list holds.
     """
     if percent < 80:
         raise ValueError("the sketch is sized for similarities of 80 % or more")
@@ -214,7 +287,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stands = light.filter("n_shingles > 0").groupBy("digest", F.col("n_shingles").alias("n"), "sketch").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     sets = scratch.keep(stands.select("digest", "n", "sketch", "row.*", F.monotonically_increasing_id().alias("key")))
 
-    values = sets.select("key", "n", F.explode("sketch").alias("v"))
+    values = sets.select("key", "n", F.posexplode("sketch").alias("pos", "v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     w = Window.partitionBy("key")
     size = F.least(F.col("n"), F.lit(SKETCH))
@@ -223,32 +296,62 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("alone", size - F.count("*").over(w))
         .withColumn("rank", F.row_number().over(w.orderBy("df", "v")))
         .filter(F.col("rank") <= size - _least_overlap(F.col("n"), share) + 1 - F.col("alone"))
-        .select("key", "v")
-    )
-    listed = scratch.keep(rare.join(sets.select("key", "n", "sketch"), "key").select("v", "key", "n", "sketch"))
-
-    def in_lists(df: DataFrame, best: bool) -> DataFrame:
-        return df.select("v", "key", "part", "n", "sketch").repartition("v").sortWithinPartitions("v").mapInArrow(_lists(best, share), "a bigint, b bigint, common int")
-
-    first = in_lists(listed.withColumn("part", F.col("key")), True)
-    first = first.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a")).select("a", "b")
+        .groupBy("key").agg(F.sum(F.expr("shiftleft(1L, pos)")).alias("mask"), F.collect_list("v").alias("vs"))
+    )
+    listed = scratch.keep(rare.join(sets.select("key", "n", "sketch"), "key").select(F.explode("vs").alias("v"), "key", "n", "mask", "sketch"))
     wanted = sets.join(listed.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "text_key")
     texts = scratch.keep(rows.join(wanted, ["doc_id", "text_key"]).select("key", "text").dropDuplicates(["key"]))
+    long = scratch.keep(listed.groupBy("v").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
+
+    def in_lists(df: DataFrame, sizes: DataFrame, best: bool) -> DataFrame:
+        kind = "a bigint, b bigint, common bigint" if best else "a bigint, b bigint, part_a bigint, part_b bigint"
+        placed = _tiled(df, sizes, tile, best).select("v", "tile", "key", "part", "n", "mask", "side", "sketch")
+        return placed.repartition("v", "tile").sortWithinPartitions("v", "tile").mapInArrow(_lists(best, share), kind)
 
     def verified(pairs: DataFrame) -> DataFrame:
         centres = pairs.select("a").distinct().join(texts, F.col("a") == F.col("key")).select("a", F.lit(None).cast("bigint").alias("b"), "text")
         partners = pairs.join(texts, F.col("b") == F.col("key")).select("a", "b", "text")
         spread = centres.unionAll(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first())
-        return spread.mapInArrow(_verify(percent, words), "a bigint, b bigint")
+        return scratch.keep(spread.mapInArrow(_verify(percent, words), "a bigint, b bigint, distance double, linked boolean"))
+
+    def best_pairs(df: DataFrame, sizes: DataFrame) -> DataFrame:
+        return verified(in_lists(df, sizes, True).groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a")).select("a", "b"))
 
-    links = scratch.keep(verified(first))
+    links = best_pairs(listed.withColumn("part", F.col("key")), long).filter("linked").select("a", "b")
+    parted = lambda df, parts: df.join(parts, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
     parts = connected_components(spark, links)
-    parted = listed.join(parts, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
-    more = scratch.keep(verified(scratch.keep(in_lists(parted, False).select("a", "b").distinct())))
-    merged = connected_components(spark, links.unionAll(more))
-    named = sets.select("digest", "key", "doc_id").join(merged, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.select("digest", "part").join(least, "part").select("digest", "component_id")
+    hot = long
+    while not hot.isEmpty():  # one set a component of each long list, until no list of components is long
+        some = parted(listed.join(hot.select("v"), "v"), parts).groupBy("v", "part").agg(F.min_by(F.struct("key", "n", "mask", "sketch"), "key").alias("row")).select("v", "row.*", "part")
+        some = scratch.keep(some)
+        sizes = scratch.keep(some.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"))
+        more = best_pairs(some, sizes).filter("linked").select("a", "b")
+        before, hot = hot, scratch.keep(sizes.filter(F.col("size") > tile))
+        if more.isEmpty() or not hot.join(before, ["v", "size"], "left_anti").head(1) and hot.count() == before.count():
+            break
+        links = scratch.keep(links.unionAll(more))
+        parts = connected_components(spark, links)
+
+    within = parted(listed, parts)
+    mixed = within.groupBy("v").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("v")
+    across = scratch.keep(in_lists(within.join(mixed, "v", "left_semi"), long, False))
+    counted = across.groupBy(F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")).agg(F.count("*").alias("pairs"))
+    many = scratch.keep(counted.filter(F.col("pairs") >= MANY).select("p", "q"))
+    named = across.withColumns({"p": F.least("part_a", "part_b"), "q": F.greatest("part_a", "part_b")})
+    single = named.join(many, ["p", "q"], "left_anti").select("a", "b")
+    crowd = named.join(many, ["p", "q"])
+    member = lambda k, part: crowd.filter(F.col(k) != F.col(part)).select(F.col(part).alias("a"), F.col(k).alias("b"))
+    first = verified(single.unionAll(many.select(F.col("p").alias("a"), F.col("q").alias("b"))).unionAll(member("a", "part_a")).unionAll(member("b", "part_b")).distinct())
+    from_centre = lambda k, name: first.select(F.col("a").alias(f"part_{k}"), F.col("b").alias(k), F.col("distance").alias(name))
+    apart = first.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("distance").alias("between"), F.col("linked").alias("centres"))
+    judged = crowd.join(apart, ["p", "q"]).join(from_centre("a", "off_a"), ["part_a", "a"], "left").join(from_centre("b", "off_b"), ["part_b", "b"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    open_ = judged.filter(~F.col("centres") & (F.col("between") - zero("off_a") - zero("off_b") <= 1 - share + 1e-9)).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    second = verified(open_.distinct())
+    merged = connected_components(spark, links.unionAll(first.filter("linked").select("a", "b")).unionAll(second.filter("linked").select("a", "b")))
+    named_sets = sets.select("digest", "key", "doc_id").join(merged, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
+    least = named_sets.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    of_set = named_sets.select("digest", "part").join(least, "part").select("digest", "component_id")
     found = light.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     real = lambda c: F.when(c < NULL_ID, c)

@@ -113,7 +113,30 @@ def test_near(rows_of):
                 copy[r.randrange(len(copy))] = word()
             rows.append((len(rows), r.choice([" ", "\n"]).join(copy)))
     rows += ODD[:-2] + [(3, rows[40][1]), (None, rows[7][1]), (None, "all by itself here"), (None, None)]
-    assert sorted(map(tuple, near_dedup(rows_of(rows)).collect()), key=str) == near_brute(rows)
+    want = near_brute(rows)
+    assert sorted(map(tuple, near_dedup(rows_of(rows)).collect()), key=str) == want
+    assert sorted(map(tuple, near_dedup(rows_of(rows), tile=3).collect()), key=str) == want
+
+
+def test_near_families(rows_of):
+    """Families of near copies that lie close to one another, some with a link between them and most without."""
+    r = random.Random(12)
+    rows = []
+    for family in range(6):
+        text = [f"f{family}w{r.randint(0, 9999)}" for _ in range(300)]
+        for relative in range(6):
+            words = list(text)
+            for k in range(relative * 4):
+                words[(k * 53) % 300] = f"r{relative}x{k}y{r.randint(0, 9)}"
+            for _ in range(r.randint(1, 9)):
+                copy = list(words)
+                copy[r.randrange(300)] = f"own{len(rows)}"
+                rows.append((len(rows), " ".join(copy)))
+    r.shuffle(rows)
+    want = near_brute(rows)
+    assert 6 < len({x[2] for x in want}) < len(rows) // 3
+    for tile in (4096, 5):
+        assert sorted(map(tuple, near_dedup(rows_of(rows), tile=tile).collect()), key=str) == want
 
 
 def test_near_passages_do_not_link(rows_of):
