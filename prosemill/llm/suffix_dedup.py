@@ -13,17 +13,27 @@ its suffixes have at later offsets. Here only one suffix per matched string is n
    hash to its bucket once, sorted and delta-coded; the bucket answers with the hashes that
    several batches hold. Anchors whose q-gram occurs in one document alone end here.
 3. Refinement. For each remaining anchor a batch sends each distinct context (w - 1 bytes
-   before, the q-gram, w - 1 after) once, with the smallest doc_id that has it. Its bucket
-   sorts the contexts to the right and to the left; runs of equal prefixes of every depth
-   give bucket identifiers, and the string at offset o is the pair (left identifier of depth
-   o, right identifier of depth w - 1 - o). Sorting on these pairs, with the identifiers
-   of one depth reused for all strings, yields the smallest owner of every string exactly.
+   before, the q-gram, w - 1 after) once, with the smallest doc_id that has it. The anchor's q-gram is
+   the initial bucket of its suffix. Behind it the context goes on in ``STEP``-byte grams, whose own buckets are
+   the byte strings in order. From the last gram to the first, the bucket of the suffix at a gram is refined by
+   sorting on the bucket identifier that the suffix has one gram later; that identifier is itself refined
+   already, so each update is used again by the suffix before it, and buckets of one member
+   aren't sorted any more. The same runs backwards on the bytes before the q-gram. Neighbours in the final
+   order differ at one depth, which gives the bucket identifiers of every depth; the string at offset o is the pair
+   (left identifier of depth o, right identifier of depth w - 1 - o). One more refinement, of the left bucket
+   by the right identifier, yields the smallest owner of every string exactly.
 4. Removal. The batch gets a bit mask per context, marks the strings and hashes what is left.
 
 A passage that a third of all documents share costs one row entry per batch and bucket, not
 one per document. Documents travel once, in compressed blobs by batch; the same exchange
 serves anchors, contexts and removal.
 
+Memory: batches and buckets are as many as the text's bytes ask for (``batch_bytes`` each), and a task takes
+one at a time, so neither grows with the table; one document is never split, so a longer one is a batch by itself.
+Anchors are looked at in slices of ``_SLICE``: a text of one letter or a short period, in which every
+position is an anchor, holds few distinct contexts, and only those stay. A bucket holds all
+contexts of its q-grams: a q-gram with very many different surroundings isn't split.
+
 Results: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the kept text.
 Cases: a null text is empty; texts shorter than ``length`` keep all bytes. A null doc_id
 counts as larger than all others. Rows that repeat a doc_id don't remove each other's bytes,
@@ -48,6 +58,8 @@ _PACKED = pa.schema([("batch", pa.int32()), ("blob", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("blob", pa.binary())])
 _TOP = np.uint64(2**64 - 1)
 _FLUSH = 24 << 20
+_SLICE = 1 << 17
+STEP = 8
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -183,13 +195,12 @@ class _Batch:
         if not len(at):
             return out
         left, right = np.minimum(side, at - self.starts[doc]), np.minimum(side, self.ends[doc] - at - self.q)
-        data = np.frombuffer(b"".join(self.parts), np.uint8)
+        lo, hi = int(doc.min()), int(doc.max()) + 1  # anchors come in the order of documents
+        data = np.frombuffer(b"".join(self.parts[lo:hi]), np.uint8)
         step = np.arange(width) - side
-        for k in range(0, len(at), 1 << 16):
-            a = at[k : k + (1 << 16), None]
-            where = np.clip(a + step, 0, len(data) - 1)
-            inside = (step >= -left[k : k + (1 << 16), None]) & (step < self.q + right[k : k + (1 << 16), None])
-            out[k : k + (1 << 16), :width] = np.where(inside, data[where], 0)
+        where = np.clip(at[:, None] - self.starts[lo] + step, 0, len(data) - 1)
+        inside = (step >= -left[:, None]) & (step < self.q + right[:, None])
+        out[:, :width] = np.where(inside, data[where], 0)
         out[:, width], out[:, width + 1] = left, right
         return out
 
@@ -224,9 +235,10 @@ def _packer(n_batches: int):
     return run
 
 
-def _runs(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Starts of the buckets in a sorted array, with the end."""
-    return np.searchsorted(bucket, np.arange(n_buckets + 1))
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of each bucket in a sorted array."""
+    starts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(bucket) else np.empty(0, np.int64)
+    yield from zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False)
 
 
 def _send_hashes(length: int, n_buckets: int):
@@ -237,9 +249,7 @@ def _send_hashes(length: int, n_buckets: int):
         _, h, _ = own.anchors()
         bucket, rest = own.split(h)
         keys = np.unique((bucket << np.uint64(32)) | rest)
-        ends = _runs(keys >> np.uint64(32), n_buckets)
-        rows = [(b, number, _pack([_pack_sorted(keys[ends[b] : ends[b + 1]].astype(np.uint32))])) for b in range(n_buckets) if ends[b + 1] > ends[b]]
-        return _table(rows)
+        return _table([(b, number, _pack([_pack_sorted(keys[lo:hi].astype(np.uint32))])) for b, lo, hi in _runs(keys >> np.uint64(32))])
 
     return run
 
@@ -268,17 +278,28 @@ def _answer_hashes():
     return run
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of bytes in order, and the place of each row among them."""
+    found, place = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").reshape(-1), return_inverse=True)
+    return found.view(np.uint8).reshape(len(found), rows.shape[1]), place.reshape(-1)
+
+
 def _chosen(own: _Batch, at: np.ndarray, h: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the anchors whose key is wanted: distinct (bucket, context) in order, the anchor's entry, position and document."""
     bucket, rest = own.split(h)
     key = (bucket << np.uint64(32)) | rest
     hit = np.isin(key, wanted)
     at, doc, key = at[hit], doc[hit], key[hit]
-    context = own.contexts(at, doc)
-    whole = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), context], axis=1)  # big-endian: entries sort by bucket
-    entries, entry = np.unique(whole.view(f"V{whole.shape[1]}").reshape(-1), return_inverse=True)
-    entries = entries.view(np.uint8).reshape(len(entries), whole.shape[1])
-    return entries, entry.reshape(-1), at, doc
+    parts, places, n = [], [], 0
+    for k in range(0, max(1, len(at)), _SLICE):
+        some = slice(k, k + _SLICE)
+        # big-endian: entries sort by bucket
+        found, place = _distinct(np.concatenate([key[some].astype(">u8").view(np.uint8).reshape(-1, 8), own.contexts(at[some], doc[some])], axis=1))
+        parts.append(found)
+        places.append((place + n).astype(np.int32))
+        n += len(found)
+    entries, again = _distinct(np.concatenate(parts))
+    return entries, again[np.concatenate(places)], at, doc
 
 
 def _send_contexts(length: int, n_buckets: int):
@@ -306,36 +327,55 @@ def _send_contexts(length: int, n_buckets: int):
         least = np.full(len(entries), NULL_ID, np.int64)
         np.minimum.at(least, entry, own.ids[doc])
         owner = entries[:, :4].copy().view(">u4").reshape(-1)
-        ends = _runs(owner, n_buckets)
         rows = []
-        for b in range(n_buckets):
-            lo, hi = ends[b], ends[b + 1]
-            if hi > lo:
-                grams = entries[lo:hi, 4:8].copy().view(">u4").reshape(-1).astype(np.uint32)
-                rows.append((b, number, _pack([_pack_sorted(np.unique(grams)), least[lo:hi], entries[lo:hi, 8:].reshape(-1)])))
+        for b, lo, hi in _runs(owner):
+            grams = entries[lo:hi, 4:8].copy().view(">u4").reshape(-1).astype(np.uint32)
+            rows.append((b, number, _pack([_pack_sorted(np.unique(grams)), least[lo:hi], entries[lo:hi, 8:].reshape(-1)])))
         return _table(rows)
 
     return run
 
 
-def _depths(rows: np.ndarray, start: int, depths: int) -> list[np.ndarray]:
-    """Bucket identifiers of the rows by their first start, start + 1, ... bytes; one sort serves all depths."""
-    width = rows.shape[1]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").reshape(-1), kind="stable")
-    if len(order) > 1:
-        differ = np.empty(len(order) - 1, np.int32)
-        for k in range(0, len(differ), 1 << 16):
-            a, b = rows[order[k : k + (1 << 16) + 1]][:-1], rows[order[k : k + (1 << 16) + 1]][1:]
-            unequal = a != b
-            differ[k : k + len(a)] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width)
-    else:
-        differ = np.empty(0, np.int32)
+def refined(grams: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of the suffixes that start at the first column of grams (rows of integers), in lexical order.
+
+    Bucket-pointer refinement from the last column back: a suffix's bucket, its own gram, is refined by the bucket identifier
+    of the suffix one gram later. A suffix whose gram no other row has is alone in its bucket and isn't sorted further.
+    """
+    n, columns = grams.shape
+    later = np.zeros(n, np.int64)  # identifiers of the suffixes one gram later; the empty suffix has one bucket
+    for k in range(columns - 1, -1, -1):
+        order = np.argsort(grams[:, k], kind="stable")
+        gram = grams[order, k]
+        first = np.concatenate([[True], gram[1:] != gram[:-1]])
+        bucket = np.cumsum(first) - 1
+        crowded = np.nonzero((np.bincount(bucket) > 1)[bucket])[0]  # members of buckets that aren't refined yet, together
+        within = later[order[crowded]]
+        finer = np.lexsort((within, bucket[crowded]))
+        order[crowded] = order[crowded][finer]
+        pointer, own = later[order], bucket
+        ids = np.empty(n, np.int64)
+        ids[order] = np.cumsum(np.concatenate([[True], (own[1:] != own[:-1]) | (pointer[1:] != pointer[:-1])])) - 1
+        later = ids
+    return later
+
+
+def _depths(rows: np.ndarray, depths: int) -> list[np.ndarray]:
+    """Bucket identifiers of the rows by their first 0, 1, ... ``depths`` - 1 bytes."""
+    width = -(-rows.shape[1] // STEP) * STEP
+    padded = np.zeros((len(rows), max(width, STEP)), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    suffix = refined(padded.view(">u8").astype(np.uint64))
+    order = np.argsort(suffix, kind="stable")
+    differ = np.empty(max(0, len(order) - 1), np.int32)
+    for k in range(0, len(differ), 1 << 16):
+        some = rows[order[k : k + (1 << 16) + 1]]
+        unequal = some[:-1] != some[1:]
+        differ[k : k + len(unequal)] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), rows.shape[1])
     out = []
-    for depth in range(start, start + depths):
-        group = np.zeros(len(order), np.int64)
-        group[1:] = np.cumsum(differ < depth)
+    for depth in range(depths):
         ids = np.empty(len(order), np.int64)
-        ids[order] = group
+        ids[order] = np.concatenate([[0], np.cumsum(differ < depth)]) if len(order) else 0
         out.append(ids)
     return out
 
@@ -353,17 +393,20 @@ def _answer_contexts(length: int):
         least = np.concatenate([x[1] for x in got])
         rows = np.concatenate([x[2].reshape(-1, width + 2) for x in got])
         left, right = rows[:, width].astype(np.int64), rows[:, width + 1].astype(np.int64)
-        to_right = _depths(rows[:, side:width], q, side + 1)
-        to_left = _depths(rows[:, : side + q][:, ::-1], q, side + 1)
+        # All depths go on from the anchor's q-gram, the initial bucket.
+        _, gram = _distinct(rows[:, side : side + q])
+        to_right = _depths(rows[:, side + q : width], side + 1)
+        to_left = _depths(rows[:, :side][:, ::-1], side + 1)
         mask = np.zeros(len(rows), np.uint64)
         for o in range(side + 1):
             valid = np.nonzero((left >= o) & (right >= side - o))[0]
             if len(valid) < 2:
                 continue
-            key = to_left[o][valid] * len(rows) + to_right[side - o][valid]
-            order = np.argsort(key, kind="stable")
-            key, at = key[order], valid[order]
-            starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            left_id, right_id, own = to_left[o][valid], to_right[side - o][valid], gram[valid]
+            order = np.lexsort((right_id, left_id, own))
+            at = valid[order]
+            left_id, right_id, own = left_id[order], right_id[order], own[order]
+            starts = np.nonzero(np.concatenate([[True], (left_id[1:] != left_id[:-1]) | (right_id[1:] != right_id[:-1]) | (own[1:] != own[:-1])]))[0]
             lowest = np.minimum.reduceat(least[at], starts)
             lowest = np.repeat(lowest, np.diff(np.append(starts, len(at))))
             hit = at[least[at] > lowest]
@@ -417,23 +460,27 @@ def _removal(length: int, n_buckets: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
     """What is left of each document; see the module for the columns and for null and empty cases.
 
-    length: bytes of the shortest removed string, 16 to 128.
+    length: bytes of the shortest removed string, 16 to 128. batch_bytes: text of one batch, on average.
     """
     if not 16 <= length <= 128:
         raise ValueError("length has to lie between 16 and 128")
-    n_buckets = parallelism(docs.sparkSession)
-    n_batches = 2 * n_buckets
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    total = rows.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
+    least = parallelism(docs.sparkSession)
+    n_batches = max(least, -(-total // batch_bytes))
+    n_buckets = n_batches
     keyed = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.octet_length("body")), F.lit(n_batches)).cast("int").alias("batch"), "body")
-    packed = keyed.mapInArrow(_packer(n_batches), "batch int, blob binary")
+    # As many tasks as batches and buckets, so that a task's share stays the same at any size.
+    by = lambda df, key: df.repartition(n_batches, key)
+    packed = by(keyed.mapInArrow(_packer(n_batches), "batch int, blob binary"), "batch")
     sent = "bucket int, batch int, blob binary"
-    hashes = packed.groupBy("batch").applyInArrow(_send_hashes(length, n_buckets), sent)
-    shared = hashes.groupBy("bucket").applyInArrow(_answer_hashes(), sent)
-    contexts = packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_send_contexts(length, n_buckets), sent)
-    masks = contexts.groupBy("bucket").applyInArrow(_answer_contexts(length), sent)
+    hashes = by(packed.groupBy("batch").applyInArrow(_send_hashes(length, n_buckets), sent), "bucket")
+    shared = by(hashes.groupBy("bucket").applyInArrow(_answer_hashes(), sent), "batch")
+    contexts = by(packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_send_contexts(length, n_buckets), sent), "bucket")
+    masks = by(contexts.groupBy("bucket").applyInArrow(_answer_contexts(length), sent), "batch")
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     return packed.groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(_removal(length, n_buckets, with_text), result)
 

@@ -3,9 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from prosemill.llm.suffix_dedup import suffix_dedup
+from prosemill.llm.suffix_dedup import _depths, refined, suffix_dedup
 
 
 def brute(rows, length):
@@ -52,6 +55,34 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=3), min_size=1, max_size=25))
+def test_refinement_orders_suffixes(rows):
+    ids = refined(np.array(rows, np.uint64))
+    order = sorted(set(map(tuple, rows)))
+    assert ids.tolist() == [order.index(tuple(r)) for r in rows]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=19, max_size=19).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=25))
+def test_depths_tell_equal_prefixes(rows):
+    for depth, ids in enumerate(_depths(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 19), 20)):
+        assert all((ids[a] == ids[b]) == (rows[a][:depth] == rows[b][:depth]) for a in range(len(rows)) for b in range(a))
+
+
+def test_long_repetitive_texts(spark):
+    """One letter and short periods over megabytes: every position is an anchor, and contexts are few."""
+    rows = [(1, "a" * 60), (2, "a" * 2_000_000), (3, "b" * 1_000_000), (4, "abc" * 500_000), (5, "abc" * 20 + "x"), (6, "b" * 300_000 + "c"), (7, None)]
+    got = sorted(map(tuple, suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == brute(rows, 50)
+
+
+def test_many_small_batches(spark):
+    rows = texts(5)
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), batch_bytes=400)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
+
+
 def test_empty_table_and_text(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     body = "The quick brown fox jumps over the lazy dog, and then it rests a while."
