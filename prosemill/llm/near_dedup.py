@@ -309,6 +309,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return placed.repartition("v", "tile").sortWithinPartitions("v", "tile").mapInArrow(_lists(best, share), kind)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs)  # read twice
         centres = pairs.select("a").distinct().join(texts, F.col("a") == F.col("key")).select("a", F.lit(None).cast("bigint").alias("b"), "text")
         partners = pairs.join(texts, F.col("b") == F.col("key")).select("a", "b", "text")
         spread = centres.unionAll(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first())
