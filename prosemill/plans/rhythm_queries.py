@@ -9,12 +9,13 @@ from prosemill.functions import text as T
 from prosemill.operators import rhythm as R
 from prosemill.plans.fixtures import JA, ja_sentences
 from prosemill.sources import plain
+from prosemill.sources.scan import spread
 
 C = {"S": r"\s\x{3000}"}
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def doc_sentences(spark, sf_dir) -> DataFrame:
