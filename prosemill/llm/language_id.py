@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import crc_mod, table, tree_sum, vector_row
+from prosemill.sources.scan import spread
 
 BITS = 15
 SCRIPT_SHARE = 0.01
@@ -251,7 +252,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, text_col: str = "tex
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learnt outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     model = learn(docs)
     rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
     return detect_languages(rows, model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))

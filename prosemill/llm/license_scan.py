@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import table
+from prosemill.sources.scan import spread
 
 K = 3
 #: A k-gram's neighbour diagonals: words that may be added or left out between two hits of a span.
@@ -125,7 +126,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of all documents."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 _VALUES = ", ".join(f"({t}, '{label}', {str(b).lower()}, {p}, {m}, {k}, '{a} {x} {c}')" for t, label, b, p, m, k, a, x, c in _grams())

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import Scratch, count_words, parallelism, table
+from prosemill.sources.scan import spread
 
 _M = (1 << 64) - 1
 _CLOSE = 1e-9
@@ -219,4 +220,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_sources(spread(table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "size", "source_size", "target", "taken", "copies")

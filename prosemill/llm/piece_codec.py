@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import table
+from prosemill.sources.scan import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -429,4 +430,4 @@ def digest(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col:
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge-dropout encoding of all documents, decoded again."""
-    return digest(table(spark, sf_dir, "documents"), PieceCodec(MODEL, DROPOUT, seed=1, lanes=LANES))
+    return digest(spread(table(spark, sf_dir, "documents"), "doc_id"), PieceCodec(MODEL, DROPOUT, seed=1, lanes=LANES))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import Scratch, crc_mod, table, tree_sum, vector_row
+from prosemill.sources.scan import spread
 
 BINS = 1000
 LEAST_CALIBRATION = 20
@@ -232,4 +233,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from labels.quality outside the held-out fold."""
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "labels"))
