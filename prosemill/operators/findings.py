@@ -165,6 +165,18 @@ def report_json(findings: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct(F.lit(1).alias("version"), F.struct(*SEVERITIES).alias("counts"), "findings")).alias("report"))
 
 
+def indexed(findings: DataFrame) -> DataFrame:
+    """Findings of ``lint`` with ix, their number in a document by position and rule, as ``compare_findings`` wants them."""
+    return findings.withColumn("ix", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rule_id", "fingerprint")).cast("long") - 1)
+
+
+def text_report(findings: DataFrame) -> DataFrame:
+    """One line of text for each finding that isn't suppressed, in the order of a report; needs name."""
+    shown = findings.filter("NOT suppressed")
+    line = F.format_string("%s:%d %s [%s] %s", F.col("name"), F.col("line"), F.col("severity"), F.col("rule_id"), F.col("message"))
+    return shown.select("doc_id", "pos", "rule_id", line.alias("report"))
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """Findings in the order of a report."""
     return findings.orderBy("doc_id", "pos", "rule_id")

@@ -22,6 +22,7 @@ from prosemill.operators import lists as L
 from prosemill.operators import rhythm as R
 from prosemill.operators import structure as S
 from prosemill.operators.custom import CustomRule, apply_custom, validated
+from prosemill.operators.messages import MESSAGES
 from prosemill.operators.phrase_data import RULES
 from prosemill.operators.phrases import SENTENCE_RULES, find_phrases
 from prosemill.sources.parser import directives, parse, sentence_table
@@ -72,6 +73,7 @@ class Engine:
 
     def __init__(self, options: Options | None = None):
         self.options = o = options or Options()
+        self.held: list[DataFrame] = []
         if o.genre not in GENRES:
             raise ValueError(f"no genre {o.genre}")
         self.genre = GENRES[o.genre]
@@ -158,20 +160,38 @@ class Engine:
         return out
 
     def lint(self, docs: DataFrame, store: str | None = None) -> DataFrame:
-        """Findings of documents (doc_id, source, format) with position, line and suppression."""
+        """Findings of documents (doc_id, source, format) with position, line, context, message, fingerprint and suppression.
+
+        context is the sentence of a finding, null for one of a whole block or document. The fingerprint is made of the rule, the matched
+        text and the first 32 signs of the context, without white space: it stays the same when lines are put in elsewhere.
+        """
         blocks = parse(docs)
         if store:
             blocks.write.mode("overwrite").parquet(store)
             blocks = docs.sparkSession.read.schema(blocks.schema).parquet(store)
         else:
             blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-        s = blocks.select(F.col("doc_id").alias("_d"), F.col("block_ix").alias("_b"), F.col("start").alias("_start"), F.col("sentences").alias("_s"))
+            self.held.append(blocks)
+        s = blocks.select(F.col("doc_id").alias("_d"), F.col("block_ix").alias("_b"), F.col("start").alias("_start"), F.col("line").alias("_line"), F.col("text").alias("_t"), F.col("sentences").alias("_s"))
         found = self.findings(blocks).join(s, (F.col("doc_id") == F.col("_d")) & (F.coalesce("block_ix", F.lit(0)) == F.col("_b")), "left")
-        at = F.coalesce(F.get(F.col("_s"), F.col("ord"))["source_start"], F.col("_start"), F.lit(0))
-        placed = found.withColumn("pos", at).drop("_d", "_b", "_start", "_s")
-        source = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.col("source").alias("_source"))
-        lined = placed.join(source, F.col("doc_id") == F.col("_d"), "left").withColumn("line", F.regexp_count(F.substring(F.col("_source"), F.lit(1), F.col("pos")), F.lit("\n")) + 1).drop("_d", "_source")
-        return G.suppress(lined, G.regions(directives(docs)))
+        one = F.get(F.col("_s"), F.col("ord"))
+        bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"[{S.T.SPACES}]", "")
+        context = F.substring(F.col("_t"), one["start"] + 1, one["end"] - one["start"])
+        placed = found.withColumns({"pos": F.coalesce(one["source_start"], F.col("_start"), F.lit(0)), "line": F.coalesce(one["line"], F.col("_line"), F.lit(1)), "context": context})
+        texts = {**MESSAGES, **{c.id: c.message for c in self.custom}}
+        said = F.coalesce(F.create_map(*(F.lit(x) for kv in texts.items() for x in kv))[F.col("rule_id")], F.col("rule_name"))
+        named = placed.withColumns(
+            {
+                "message": F.when(F.col("matched").isNull(), said).otherwise(F.concat(said, F.lit(": "), F.col("matched"))),
+                "fingerprint": F.lower(F.lpad(F.hex(F.xxhash64("rule_id", bare(F.col("matched")), F.substring(bare(F.col("context")), 1, 32))), 16, "0")),
+            }
+        )
+        return G.suppress(named.drop("_d", "_b", "_start", "_line", "_t", "_s"), G.regions(directives(docs)))
+
+    def release(self) -> None:
+        """Frees block tables that ``lint`` persisted, once their findings are written."""
+        while self.held:
+            self.held.pop().unpersist()
 
     def report(self, findings: DataFrame) -> DataFrame:
         """A JSON report per document of what isn't suppressed."""

@@ -19,6 +19,7 @@ linear time. Unknown formats are read as plain text. Undecodable files never get
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -535,11 +536,11 @@ def parse_one(source: str, form: str, strings: bool = False) -> tuple[list[Block
     return (_shift(blocks, len(source) - len(body)) if len(source) != len(body) else blocks), wrapped
 
 
-BLOCKS = "doc_id bigint, block_ix int, kind string, level int, text string, start int, end int, in_quote boolean, in_footnote boolean, n_strong bigint, lead_label string, raw string, marks array<struct<kind:string,start:int,end:int>>, wrapped boolean, sentences array<struct<start:int,end:int,source_start:int,source_end:int,label_value:boolean>>"
+BLOCKS = "doc_id bigint, block_ix int, kind string, level int, text string, start int, end int, in_quote boolean, in_footnote boolean, n_strong bigint, lead_label string, raw string, line int, marks array<struct<kind:string,start:int,end:int>>, wrapped boolean, sentences array<struct<start:int,end:int,source_start:int,source_end:int,label_value:boolean,line:int>>"
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("block_ix", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("in_quote", pa.bool_()), ("in_footnote", pa.bool_()), ("n_strong", pa.int64()), ("lead_label", pa.string()), ("raw", pa.string()),
+    ("doc_id", pa.int64()), ("block_ix", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("in_quote", pa.bool_()), ("in_footnote", pa.bool_()), ("n_strong", pa.int64()), ("lead_label", pa.string()), ("raw", pa.string()), ("line", pa.int32()),
     ("marks", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("wrapped", pa.bool_()),
-    ("sentences", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("label_value", pa.bool_())]))),
+    ("sentences", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("label_value", pa.bool_()), ("line", pa.int32())]))),
 ])
 
 
@@ -556,10 +557,11 @@ def block_rows(doc_id: int, source: str | None, form: str, strings: bool = False
     if source is None:
         return []
     blocks, wrapped = parse_one(source, form, strings)
-    out = []
+    out, breaks = [], [m.start() for m in re.finditer("\n", source)]
+    line = lambda at: bisect_left(breaks, at) + 1
     for k, b in enumerate(blocks):
-        cuts = [(x, y, b.source_at(x), b.source_at(y - 1) + 1, bool(_LABEL_VALUE.match(b.text[x:y]))) for x, y in split_sentences(b.text)]
-        out.append((doc_id, k, b.kind, b.level, b.text, b.start, b.end, b.in_quote, b.in_footnote, sum(m[0] == "strong" for m in b.marks), _label(b), source[b.start : b.end], [dict(zip(("kind", "start", "end"), m, strict=True)) for m in b.marks], wrapped, [dict(zip(("start", "end", "source_start", "source_end", "label_value"), c, strict=True)) for c in cuts]))
+        cuts = [(x, y, b.source_at(x), b.source_at(y - 1) + 1, bool(_LABEL_VALUE.match(b.text[x:y])), line(b.source_at(x))) for x, y in split_sentences(b.text)]
+        out.append((doc_id, k, b.kind, b.level, b.text, b.start, b.end, b.in_quote, b.in_footnote, sum(m[0] == "strong" for m in b.marks), _label(b), source[b.start : b.end], line(b.start), [dict(zip(("kind", "start", "end"), m, strict=True)) for m in b.marks], wrapped, [dict(zip(("start", "end", "source_start", "source_end", "label_value", "line"), c, strict=True)) for c in cuts]))
     return out
 
 
@@ -581,7 +583,7 @@ def sentence_table(blocks: DataFrame) -> DataFrame:
 
     rows = blocks.select("doc_id", "block_ix", "kind", "in_quote", "in_footnote", F.col("text").alias("block_text"), F.posexplode("sentences").alias("ord", "s"))
     text = F.substring(F.col("block_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return rows.select("doc_id", "block_ix", "ord", text.alias("text"), reading_length(text).cast("long").alias("length"), "s.source_start", "s.source_end", "s.label_value", "kind", "in_quote", "in_footnote")
+    return rows.select("doc_id", "block_ix", "ord", text.alias("text"), reading_length(text).cast("long").alias("length"), "s.source_start", "s.source_end", "s.label_value", "s.line", "kind", "in_quote", "in_footnote")
 
 
 def directives(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -24,6 +24,7 @@ def lint_stream(docs: DataFrame, engine: Engine, out: str, checkpoint: str):
     """Starts a query that lints each micro-batch with the batch engine and appends findings as Parquet."""
     def each(batch: DataFrame, batch_id: int) -> None:
         engine.lint(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        engine.release()
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -28,6 +28,22 @@ def test_lint_places_and_suppresses(spark):
     assert report["counts"]["info"] == 1
 
 
+def test_findings_carry_message_line_and_fingerprint(spark):
+    before = "棚の話。\n\n多くの人が読む。様々な物がある。\n"
+    after = "# 題\n\n新しい行。\n\n多くの人が読む。<!-- prosemill-disable P05 -->様々な物がある。\n"
+    engine = Engine(Options(only=("P05",)))
+    frame = lambda source: spark.createDataFrame([(1, "a.md", "markdown", source)], DOCS)
+    b, a = engine.lint(frame(before)), engine.lint(frame(after))
+    assert [(r.line, r.message, r.context) for r in b.orderBy("pos").collect()] == [(3, "A modifier that adds nothing: 多くの", "多くの人が読む。"), (3, "A modifier that adds nothing: 様々な", "様々な物がある。")]
+    assert [r.line for r in a.orderBy("pos").collect()] == [5, 5]
+    got = {(r.status, r.before_ix, r.after_ix) for r in revision.compare_findings(findings.indexed(b), findings.indexed(a)).collect()}
+    assert got == {("persisting", 0, 0), ("suppressed", 1, 1)}
+    named = b.withColumn("name", F.lit("a.md"))
+    assert findings.annotations(named).count() == 2 and findings.text_report(named).orderBy("pos").first().report == "a.md:3 info [P05] A modifier that adds nothing: 多くの"
+    engine.release()
+    assert not engine.held
+
+
 def test_selection_and_options(spark):
     assert "S01" not in Engine(Options(genre="business")).active() and "R22" in Engine(Options(genre="essay")).active()
     assert Engine(Options(only=("p01",), disable=("P01",))).active() == ["P01"]
@@ -92,6 +108,29 @@ def test_findings_pair_as_multisets(spark):
     assert got == [("carried_over", "P05", 1, 1), ("new", "P07", None, 2), ("persisting", "P05", 0, 0), ("resolved", "P05", 2, None), ("resolved", "P06", 3, None)]
 
 
+def test_findings_pair_in_five_ways(spark):
+    kind = "doc_id bigint, ix bigint, rule_id string, fingerprint string, matched string, suppressed boolean, context string"
+    before = spark.createDataFrame([(1, 0, "P05", "a", "x", False, "c"), (1, 1, "P05", "b", "y y", False, "c"), (1, 2, "R01", "d", None, False, None), (1, 3, "P06", "e", "z", False, "c"), (1, 4, "P07", "f", "w", False, "c"), (1, 5, "P08", "g", "v", True, "c")], kind)
+    after = spark.createDataFrame([(1, 0, "P05", "a", "x", True, "c"), (1, 1, "P05", "q", "yy", False, "k"), (1, 2, "R01", "r", None, False, None), (1, 3, "P06", "s", "z", True, "k"), (1, 4, "P07", "t", "other", False, "k"), (1, 5, "P08", "g", "v", False, "c")], kind)
+    got = sorted((r.status, r.before_ix, r.after_ix) for r in revision.compare_findings(before, after).fillna(-1).collect())
+    assert got == [("carried_over", 1, 1), ("new", -1, 4), ("new", -1, 5), ("persisting", 2, 2), ("resolved", 4, -1), ("suppressed", 0, 0), ("suppressed", 3, 3)]
+
+
+def test_shifts_of_headings_rhythm_and_edits(spark):
+    heads = lambda *t: spark.createDataFrame([(1, x) for x in t], "doc_id bigint, text string")
+    assert [tuple(r) for r in revision.headings_rewritten(heads("a", "b", "c"), heads("x", "y", "z")).collect()] == [(1, 3, 3, 1.0)]
+    assert revision.headings_rewritten(heads("a", "b", "c"), heads("a", "y", "z")).count() == 0 and revision.headings_rewritten(heads("a", "b"), heads("x", "y")).count() == 0
+    kind = "doc_id bigint, block_ix int, ord int, text string, length bigint"
+    sents = lambda texts: spark.createDataFrame([(1, 0, k, t, len(t)) for k, t in enumerate(texts)], kind)
+    flat, waves = [f"{k}日目は倉庫を確かめた。" for k in range(12)], ["朝のうちに倉庫の棚を端から順に確かめた。" if k % 2 else "終わった。" for k in range(12)]
+    assert [r.after for r in revision.alternation_shift(sents(flat), sents(waves)).collect()] == [pytest.approx(-1)]
+    assert revision.alternation_shift(sents(waves), sents(waves)).count() == 0
+    old = [f"部品{k}を倉庫で確かめている。" for k in range(5)] + ["変わらない文。"]
+    new = [t.replace("確かめている", "確かめています") for t in old]
+    assert [tuple(r) for r in revision.repeated_edits(sents(old), sents(new)).collect()] == [(1, "る", "ます", 5)]
+    assert revision.local_edit("abcd", "abXcd") == ("", "X") and revision.local_edit("aaa", "aa") == ("a", "") and revision.edits_of(old, old) == []
+
+
 def test_review(spark):
     docs = spark.createDataFrame([(1, "a", "plain", "倉庫の棚は三段です。")], DOCS)
     answers = json.dumps([{"technique": t, "found": False, "quote": None} for t in review.TECHNIQUES[2:]] + [{"technique": review.TECHNIQUES[0], "found": True, "quote": "棚は三段"}, {"technique": review.TECHNIQUES[1], "found": True, "quote": "無い"}, {"technique": "other", "found": False}])

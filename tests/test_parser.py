@@ -17,7 +17,8 @@ def test_spans_point_at_the_source():
     source = "前の段落。\n\nこれは**強い**[語](http://a.b)です。次の文。\n"
     for row in block_rows(1, source, "markdown"):
         assert source[row[5] : row[6]] == row[11]
-        for s in row[14]:
+        for s in row[15]:
+            assert s["line"] == source[: s["source_start"]].count("\n") + 1
             assert source[s["source_start"] : s["source_end"]].strip()[-1] == row[4][s["end"] - 1]
 
 
