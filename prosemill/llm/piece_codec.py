@@ -43,7 +43,8 @@ from prosemill.sources.scan import spread
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 DROPOUT, LANES = 0.1, None
-_CACHED = 1_200_000
+#: Segments that a process keeps; an entry takes some 400 bytes, and an executor has a process for each core.
+_CACHED = 300_000
 _SHORT = 32
 _M = (1 << 64) - 1
 
