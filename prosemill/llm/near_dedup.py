@@ -54,7 +54,7 @@ WORDS = 5
 SKETCH, OVERLAP = 32, 10
 #: Candidate pairs of two components from which their centres are compared first.
 MANY = 3
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -110,7 +110,7 @@ def _least_overlap(n_shingles, share: float):
 
 
 _NONE = np.uint64(2**64 - 1)
-_BLOCK = 128
+_BLOCK = 64
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

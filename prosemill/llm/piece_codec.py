@@ -30,6 +30,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 DROPOUT, LANES = 0.1, None
 #: Segments that a process keeps; an entry takes some 400 bytes, and an executor has a process for each core.
-_CACHED = 300_000
+_CACHED, _BETWEEN = 300_000, 60_000
 _SHORT = 32
 _M = (1 << 64) - 1
 
@@ -359,6 +360,12 @@ class PieceCodec:
             out.append(b"".join(parts))
         return out
 
+    def trim(self) -> None:
+        """Lets go of all but ``_BETWEEN`` segments, which the process's next task starts with."""
+        for lane, young in enumerate(self.young if self.ready else ()):
+            n = _BETWEEN // len(self.young)
+            self.old[lane], self.young[lane] = dict(islice(young.items(), max(0, len(young) - n), None)), {}
+
     def encode(self, text: str, doc_id: int | None = None) -> bytes:
         """Ids of one whole text."""
         return self.encode_many([text], [doc_id])[0]
@@ -389,6 +396,7 @@ def encode(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col:
                 flat = np.frombuffer(b"".join(g for g in got if g), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([g is None for g in got], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*batch.schema.names, name])
+        codec.trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, `{name}` array<int>")
@@ -424,6 +432,7 @@ def digest(docs: DataFrame, codec: PieceCodec, id_col: str = "doc_id", text_col:
                 rows.append((i, len(t), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        codec.trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_chars bigint, n_pieces bigint, ids_sha256 string, decoded_sha256 string, lossless boolean")
