@@ -8,10 +8,10 @@ a word has decisions of its own, and its segmentations vary without a bound. The
 same segmentation in any run and on any executor; another seed gives other ones. Symbols that are no piece
 fall back to bytes. At dropout 0 the result is the library's own encoding.
 
-No piece of the model spans the start of a word, so a text is cut into segments there. What
-comes of a segment depends on the numbers of its skipped candidates alone; segments that come again with
-the same skips are looked up. With ``lanes``, documents share that many sets of decisions
-instead, and a segment has one segmentation a lane. Decoding joins bytes, so it inverts every segmentation.
+No piece of the model spans the start of a word, so a text is cut into segments there. The distinct
+segments of a batch are merged once without skips, which tells the occurrences that skip a candidate; these are merged
+each for itself, all together in rounds of array operations. Nothing is kept between batches. With ``lanes``,
+documents share that many sets of decisions instead, and a segment has one segmentation a lane. Decoding joins bytes, so it inverts every segmentation.
 The sign that stands for a space inside pieces (U+2581) goes through byte pieces where a text
 itself holds it: texts come back unchanged.
 
@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -47,6 +46,10 @@ DROPOUT, LANES = 0.1, None
 #: Segments that a process keeps; an entry takes some 400 bytes, and an executor has a process for each core.
 _CACHED, _BETWEEN = 300_000, 60_000
 _SHORT = 32
+#: Rows that one round handles together.
+_ROWS = 8192
+#: What stands for no pair, for an empty slot, and numbers from which a symbol is a character that is no piece.
+_NOTHING, _EMPTY, _FOREIGN = np.int64(1 << 62), np.int64(-2), 1 << 24
 _M = (1 << 64) - 1
 
 
@@ -72,8 +75,8 @@ def _shared(*parameters) -> PieceCodec:
 class PieceCodec:
     """Encoder and decoder of one model file, seed and dropout; pickles by its parameters.
 
-    Segments met lately are kept in two generations a lane: a full young one becomes the old one, and what is met
-    again moves to the young one. lanes: None for decisions of each occurrence; there is one cache then, by segment and skips.
+    lanes: None for decisions of each occurrence. With lanes, segments met lately are kept in two generations a lane: a full
+    young one becomes the old one, and what is met again moves to the young one.
     """
 
     def __init__(self, path: str = MODEL, dropout: float = 0.0, seed: int = 0, lanes: int | None = 1):
@@ -107,21 +110,19 @@ class PieceCodec:
                 self.ids[piece], self.scores[piece] = k, -model.get_score(k)
                 self.body.append(piece.replace(SPACE, " ").encode())
         # Pairs of symbols that form a piece, by number; characters that are no piece have numbers behind the pieces.
-        number = dict(self.ids)
-        for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
-            number[c] = len(self.body) + len(number)
-        self.char = {c: k for c, k in number.items() if len(c) == 1}
-        self.by_code = np.full(0x110000, -1, np.int32)
-        for c, k in self.char.items():
-            self.by_code[ord(c)] = k
+        number = {c: _FOREIGN + ord(c) for p in self.ids for c in p} | self.ids
+        self.by_code = np.arange(_FOREIGN, _FOREIGN + 0x110000, dtype=np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                self.by_code[ord(c)] = k
         pairs = sorted((number[a] << 32 | number[b], self.scores[p], k) for p, k in self.ids.items() for cut in range(1, len(p)) if (a := p[:cut]) in number and (b := p[cut:]) in number)
-        self.pair_keys = np.array([x[0] for x in pairs], np.int64)
-        self.pair_scores, self.pair_ids = np.array([x[1] for x in pairs]), np.array([x[2] for x in pairs], np.int64)
+        self._index(np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs]), np.array([x[2] for x in pairs], np.int64))
         within = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not within else "(?s).+")
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         if not within and "\n" not in joined:
             self.segments = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.at_spaces, self.at_lines = not within, not within and "\n" not in joined
         self.literal = np.array([self.bytes_[b] for b in SPACE.encode()], "<i4").tobytes()
         self.young: list[dict] = [{} for _ in range(self.lanes or 1)]
         self.old: list[dict] = [{} for _ in range(self.lanes or 1)]
@@ -129,6 +130,36 @@ class PieceCodec:
         self.ready = True
         return self
 
+    def _index(self, keys: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Hash table of pairs, with linear probing; a pair's code holds the rank of its score and the piece's number."""
+        bits = max(4, int(8 * len(keys)).bit_length() - 1)
+        self.slot_shift, self.slot_mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_keys, self.slot_codes = np.full(1 << bits, _EMPTY, np.int64), np.full(1 << bits, _NOTHING, np.int64)
+        codes = np.unique(scores, return_inverse=True)[1].astype(np.int64) << 40 | ids
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_keys[slots[left]] == _EMPTY]
+            taken, first = np.unique(slots[free], return_index=True)
+            self.slot_keys[taken], self.slot_codes[taken] = keys[free[first]], codes[free[first]]
+            left = np.setdiff1d(left, free[first])
+            slots[left] = slots[left] + 1 & self.slot_mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.slot_shift).astype(np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Codes of the pieces that symbols a and b form, ``_NOTHING`` where none; -1 is no symbol."""
+        keys = a.astype(np.int64) << 32 | b
+        slots = self._slots(keys)
+        there = self.slot_keys[slots]
+        differs = np.nonzero(there != keys)[0]
+        other = differs[there[differs] != _EMPTY]
+        while len(other):
+            slots[other] = slots[other] + 1 & self.slot_mask
+            there[other] = self.slot_keys[slots[other]]
+            other = other[(there[other] != keys[other]) & (there[other] != _EMPTY)]
+        return np.where(there == keys, self.slot_codes[slots], _NOTHING)
+
     def _skipped(self, keys: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Whether candidates of number k are skipped, by the keys of their segments."""
         return _mixed(keys, k) < np.uint64(self.limit)
@@ -181,139 +212,153 @@ class PieceCodec:
                     out.append(k)
         return array("i", out).tobytes(), met
 
-    def _bulk(self, texts: list[str], skip: np.ndarray) -> list[tuple[bytes, int]]:
-        """``_merge`` of many short segments at once: the same merges in the same order, a round for all segments."""
-        n, width = len(texts), max(map(len, texts))
-        lengths = np.fromiter(map(len, texts), np.int64, n)
-        symbol = np.full((n, width), -1, np.int64)
-        inside = np.arange(width) < lengths[:, None]
-        symbol[inside] = self.by_code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
-        foreign = ((symbol < 0) & inside).any(axis=1)
-        # neighbours of each symbol by the place of its first character; a symbol merged away is -1
-        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+    def _bulk(self, texts: list[str], of: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``_merge`` of many short segments at once: the same merges in the same order, a round for all segments.
+
+        Row k is texts[of[k]] with the decisions of keys[k] (no keys: nothing is skipped). Ids of all rows in one array,
+        then each row's start in it, its size, and how many candidates came up.
+        """
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(lengths) - lengths
+        flat = self.by_code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        codes = self._pairs(flat, np.append(flat[1:], np.int32(-1)))
+        starts, sizes, met = (np.zeros(len(of), np.int64) for _ in range(3))
+        parts, done = [np.empty(0, np.int32)], 0
+        group = (lengths[of] - 1) // 4
+        for g in np.unique(group).tolist():
+            members = np.nonzero(group == g)[0]
+            for k in range(0, len(members), _ROWS):
+                rows = members[k : k + _ROWS]
+                ids, n, m = self._rounds(flat, codes, begins[of[rows]], lengths[of[rows]], None if keys is None else keys[rows])
+                ids, n = self._spelled(ids, n)
+                starts[rows], sizes[rows], met[rows] = done + np.cumsum(n) - n, n, m
+                parts.append(ids)
+                done += len(ids)
+        return np.concatenate(parts), starts, sizes, met
+
+    def _rounds(self, flat: np.ndarray, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols that are left of each row, end to end; how many; how many candidates came up. Rows lie in flat from begins on."""
+        n, width = len(begins), int(lengths.max())
+        # Cell (c, r) is at c * n + r. A row's symbols are in columns up to its length, then -1; the last column is before the first symbol.
+        column = np.arange(width)[:, None]
+        at = np.minimum(begins + column, len(flat) - 1)
+        symbol = np.full((width + 2, n), -1, np.int32)
+        symbol[:width] = np.where(column < lengths, flat[at], -1)
+        agenda = np.full((width + 2, n), _NOTHING)
+        agenda[:width] = np.where(column + 1 < lengths, codes[at], _NOTHING) + (column << 32)
+        real, symbol, agenda = agenda[:width], symbol.reshape(-1), agenda.reshape(-1)
+        after = np.arange(n, (width + 3) * n)
+        before = np.arange(-n, (width + 1) * n)
+        before[:n] += (width + 2) * n
         met = np.zeros(n, np.int64)
-        made = np.zeros((n, width), np.int64)
-
-        def pair(row: np.ndarray, k: np.ndarray) -> np.ndarray:
-            """Score of what symbol k and the next one form; infinite where nothing. Notes the piece."""
-            j = after[row, k]
-            last = np.minimum(j, width - 1)
-            a, b = symbol[row, k], symbol[row, last]
-            want = np.where((j < width) & (a >= 0) & (b >= 0), a << 32 | b, -1)
-            place = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
-            good = self.pair_keys[place] == want
-            made[row, k] = self.pair_ids[place]
-            return np.where(good, self.pair_scores[place], np.inf)
-
-        score = np.full((n, width), np.inf)
-        rows, cols = np.nonzero(inside)
-        score[rows, cols] = pair(rows, cols)
-        live = np.arange(n)
-        while len(live):
-            best = score[live].argmin(axis=1)
-            more = score[live, best] < np.inf
-            live, best = live[more], best[more]
-            if not len(live):
+        while True:
+            best = np.minimum.reduce(real, axis=0)
+            row = np.nonzero(best < _NOTHING)[0]
+            if not len(row):
                 break
-            out = skip[live, met[live]]
-            met[live] += 1
-            score[live[out], best[out]] = np.inf
-            row, best = live[~out], best[~out]
-            gone = after[row, best]
-            symbol[row, best], symbol[row, gone], score[row, gone] = made[row, best], -1, np.inf
-            after[row, best] = nxt = after[row, gone]
-            back = nxt < width
-            before[row[back], nxt[back]] = best[back]
-            score[row, best] = pair(row, best)
-            prv = before[row, best]
-            left = prv >= 0
-            score[row[left], prv[left]] = pair(row[left], prv[left])
-        order = np.argsort(symbol < 0, axis=1, kind="stable")
-        final = np.take_along_axis(symbol, order, 1)
-        sizes = (4 * (final >= 0).sum(axis=1)).tolist()
-        foreign |= (final >= len(self.body)).any(axis=1)  # a character that is no piece: bytes take its place
-        whole, step = final.astype("<i4").tobytes(), 4 * width
-        found = [(whole[k * step : k * step + sizes[k]], m) for k, m in enumerate(met.tolist())]
-        for k in np.nonzero(foreign)[0]:
-            found[k] = self._merge(texts[k], skip[k])
-        return found
+            best = best[row]
+            cell = (best >> 32 & 0xFF) * n + row
+            if keys is not None:
+                out = self._skipped(keys[row], met[row].view(np.uint64))
+                agenda[cell[out]] = _NOTHING
+                met[row] += 1
+                best, cell = best[~out], cell[~out]
+            else:
+                met[row] += 1
+            gone = after[cell]
+            after[cell] = behind = after[gone]
+            before[behind] = cell
+            symbol[cell] = made = best & 0xFFFFFFFF
+            symbol[gone], agenda[gone] = -1, _NOTHING
+            left = before[cell]
+            found = self._pairs(np.concatenate([made, symbol[left]]), np.concatenate([symbol[behind], made]))
+            found += np.concatenate([cell, left]) // n << 32
+            agenda[cell], agenda[left] = found[: len(cell)], found[len(cell) :]
+        final = symbol.reshape(-1, n)[:width].T
+        good = final >= 0
+        return final[good], good.sum(axis=1), met
+
+    def _spelled(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, with bytes for those that are no piece, and how many of them each row has."""
+        places = np.nonzero(symbols >= _FOREIGN)[0]
+        if not len(places):
+            return symbols, sizes
+        kinds, kind = np.unique(symbols[places], return_inverse=True)
+        spelled = [[self.bytes_[b] for b in chr(k - _FOREIGN).encode()] for k in kinds.tolist()]
+        count = np.ones(len(symbols), np.int64)
+        count[places] = np.array([len(x) for x in spelled])[kind]
+        ids, first = np.repeat(symbols, count), np.cumsum(count) - count
+        for k, x in enumerate(spelled):
+            for j, b in enumerate(x):
+                ids[first[places[kind == k]] + j] = b
+        return ids, np.bincount(np.repeat(np.arange(len(sizes)), sizes), count, len(sizes)).astype(np.int64)
 
     def _segments_of(self, text: str) -> list[list[str]]:
         """Segments of each part between the signs that stand for a space."""
         return [self.segments.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []
 
-    def _variants(self, wanted: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
-        """Ids and number of candidates of short segments with skips (bit k: candidate k is skipped), from the cache or merged."""
-        if len(self.young[0]) > _CACHED // 2:
-            self.old[0], self.young[0] = self.young[0], {}
-        young, old = self.young[0], self.old[0]
-        groups: dict[int, list[tuple[str, int]]] = {}
-        for w in wanted:
-            if w not in young:
-                if (got := old.get(w)) is not None:
-                    young[w] = got
-                else:
-                    groups.setdefault((len(w[0]) - 1) // 4, []).append(w)
-        for group in groups.values():
-            for k in range(0, len(group), 8192):
-                some = group[k : k + 8192]
-                width = 3 * max(len(s) for s, _ in some)
-                skip = np.zeros((len(some), width), bool)
-                for row, (_, mask) in enumerate(some):
-                    while mask:
-                        skip[row, (mask & -mask).bit_length() - 1] = True
-                        mask &= mask - 1
-                young.update(zip(some, self._bulk([s for s, _ in some], skip) if len(some) > 40 else [self._merge(s, skip[row]) for row, (s, _) in enumerate(some)], strict=True))
-        return [young[w] for w in wanted]
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of the segments of ``_segments_of`` of all texts, where each text's end among them, and the segments; "" is the sign itself."""
+        coded = [b" " + t.encode() if t else b"" for t in texts]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        blob = b"".join(coded)
+        data = np.frombuffer(blob, np.uint8)
+        cut = np.zeros(len(data) + 1, bool)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        cut[ends] = True
+        if self.at_spaces:
+            space = data == 0x20
+            cut[1:-1] |= space[1:] & ~space[:-1]
+        if self.at_lines:
+            lines = np.nonzero(data == 0x0A)[0]
+            cut[lines] = cut[lines + 1] = True
+        signs = np.nonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))[0]
+        cut[signs] = cut[signs + 3] = True
+        places = np.nonzero(cut)[0]
+        found = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(blob)).dictionary_encode()
+        segments = ["" if x == SPACE else x.replace(" ", SPACE) for x in found.dictionary.to_pylist()]
+        return found.indices.to_numpy().astype(np.int64), np.searchsorted(places, ends), segments
 
     def _encode_freely(self, texts: list[str | None], names: list[str]) -> list[bytes | None]:
         """Ids of texts where each occurrence of a segment has its own decisions; names: what the documents' keys are made of."""
-        number: dict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        flat: list[int] = []
-        ends = [0]
-        for text in texts:
-            for k, found in enumerate(self._segments_of(text) if text else ()):
-                if k:
-                    flat.append(number[""])  # the sign itself
-                flat.extend(map(number.__getitem__, found))
-            ends.append(len(flat))
-        node, sizes = np.array(flat, np.int64), np.diff(ends)
-        start = np.repeat(ends[:-1], sizes)
-        keys = np.repeat(np.fromiter((xxhash.xxh64_intdigest(x, self.seed & _M) for x in names), np.uint64, len(names)), sizes)
-        keys = _mixed(keys, (np.arange(len(flat)) - start).astype(np.uint64))
-        # A node is a segment with skips: first each segment with none, then what an occurrence's skips lead to.
-        variants = [(s, 0) for s in number]
-        short = [k for k, (s, _) in enumerate(variants) if 0 < len(s) <= _SHORT]
-        ids, met = [self.literal] * len(variants), np.zeros(len(variants), np.int64)
-        for k, (found, m) in zip(short, self._variants([variants[k] for k in short]), strict=True):
-            ids[k], met[k] = found, m
-        at = np.arange(len(flat)) if self.limit else np.arange(0)
-        k = np.zeros(len(at), np.int64)
-        while len(at):
-            most = met[node[at]]
-            first, live = np.full(len(at), -1), np.nonzero(k < most)[0]
-            while len(live):
-                hit = self._skipped(keys[at[live]], k[live].astype(np.uint64))
-                first[live[hit]] = k[live[hit]]
-                live = live[~hit]
-                k[live] += 1
-                live = live[k[live] < most[live]]
-            at, first = at[first >= 0], first[first >= 0]
-            codes, place = np.unique(node[at] * (3 * _SHORT) + first, return_inverse=True)
-            fresh = [(variants[p][0], variants[p][1] | 1 << c) for p, c in zip(*(x.tolist() for x in np.divmod(codes, 3 * _SHORT)), strict=True)]
-            node[at] = len(variants) + place
-            variants += fresh
-            found = self._variants(fresh)
-            ids += [x for x, _ in found]
-            met = np.concatenate([met, np.fromiter((m for _, m in found), np.int64, len(found))])
-            k = first + 1
-        parts = [ids[k] for k in node.tolist()]
-        long = np.array([len(s) > _SHORT for s in number], bool)
-        for k in np.nonzero(long[flat])[0].tolist() if long.any() else ():
-            s = variants[flat[k]][0]
-            parts[k] = self._merge(s, self._skips_of(keys[k], s).tolist())[0]
-        return [None if t is None else b"".join(parts[a:b]) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+        node, ends, segments = self._numbered(texts)
+        counts = np.diff(ends)
+        keys = np.repeat(np.fromiter((xxhash.xxh64_intdigest(x, self.seed & _M) for x in names), np.uint64, len(names)), counts)
+        keys = _mixed(keys, (np.arange(len(node)) - np.repeat(ends[:-1], counts)).astype(np.uint64))
+        # First each segment with no skip, which tells how many decisions its occurrences ask for at least.
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        short = np.nonzero((lengths > 0) & (lengths <= _SHORT))[0]
+        ids, begin, size, most = self._bulk(segments, short, None)
+        pool, done = [ids], len(ids)
+        begins, sizes, met = (np.zeros(len(segments), np.int64) for _ in range(3))
+        begins[short], sizes[short], met[short] = begin, size, most
+        begins, sizes, most = begins[node], sizes[node], met[node]
+        # Then the occurrences with a skip among these, each for itself.
+        skips = np.zeros(len(node), bool)
+        live = np.nonzero(most)[0] if self.limit else np.arange(0)
+        k = 0
+        while len(live):
+            hit = self._skipped(keys[live], np.uint64(k))
+            skips[live[hit]] = True
+            k += 1
+            live = live[~hit]
+            live = live[most[live] > k]
+        own = np.nonzero(skips)[0]
+        ids, begin, size, _ = self._bulk(segments, node[own], keys[own])
+        begins[own], sizes[own] = done + begin, size
+        pool.append(ids)
+        done += len(ids)
+        rest = (lengths == 0) | (lengths > _SHORT)
+        for k in np.nonzero(rest[node])[0].tolist() if rest.any() else ():
+            s = segments[node[k]]
+            ids = np.frombuffer(self._merge(s, self._skips_of(keys[k], s).tolist())[0] if s else self.literal, "<i4")
+            begins[k], sizes[k] = done, len(ids)
+            pool.append(ids)
+            done += len(ids)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        whole = np.concatenate(pool).astype("<i4", copy=False)[np.repeat(begins - upto[:-1], sizes) + np.arange(upto[-1])]
+        upto = upto[ends].tolist()
+        return [None if t is None else whole[a:b].tobytes() for t, a, b in zip(texts, upto, upto[1:], strict=False)]
 
     def encode_many(self, texts: list[str | None], doc_ids: list[int | None], copies: list[int] | None = None) -> list[bytes | None]:
         """Ids of whole texts as little-endian 32-bit integers; None for null. copies: numbers of rows that share an id and vary."""
@@ -329,18 +374,15 @@ class PieceCodec:
             if len(young) > _CACHED // (2 * self.lanes):
                 self.old[lane], self.young[lane] = old, young = young, {}
             fresh = {s for x in cut if x and x[0] == lane for part in x[1] for s in part if s not in young}
-            short: dict[int, list[str]] = {}
+            short: list[str] = []
             for s in fresh:
                 if (ids := old.get(s)) is not None:
                     young[s] = ids
                 elif 2 <= len(s) <= _SHORT:
-                    short.setdefault((len(s) - 1) // 4, []).append(s)
-            for group in short.values():
-                for k in range(0, len(group), 8192):
-                    some = group[k : k + 8192]
-                    width = 3 * max(map(len, some))
-                    skip = self._skipped(np.repeat(self._lane_keys(some, lane)[:, None], width, 1), np.arange(width, dtype=np.uint64)[None, :])
-                    young.update((s, ids) for s, (ids, _) in zip(some, self._bulk(some, skip), strict=True))
+                    short.append(s)
+            found, begins, sizes, _ = self._bulk(short, np.arange(len(short)), self._lane_keys(short, lane))
+            blob = found.astype("<i4").tobytes()
+            young.update((s, blob[4 * a : 4 * (a + n)]) for s, a, n in zip(short, begins.tolist(), sizes.tolist(), strict=True))
         out: list[bytes | None] = []
         for x in cut:
             if x is None:

@@ -222,6 +222,23 @@ def test_each_occurrence_varies():
     assert piece_codec.LANES is None
 
 
+def test_short_segments_are_merged_together(monkeypatch):
+    odd = [*TEXTS, None, "", "▁▁", " ▁ \n▁", "\n", "🙂🙂 x🙂y", "漢" * 32, "漢" * 33, "é" * 31 + "🙂", "tab\tand\r\nline", "a" * 32 + " " + "b" * 33]
+    for dropout in (0.0, 0.3, 0.9):
+        c = piece_codec.PieceCodec(piece_codec.MODEL, dropout, 5, None).load()
+        node, ends, segments = c._numbered(odd)
+        merge, calls, expected = c._merge, [], []
+        for k, t in enumerate(odd):
+            parts = [s for n, part in enumerate(c._segments_of(t) if t else ()) for s in [""] * (n > 0) + part]
+            assert parts == [segments[j] for j in node[ends[k] : ends[k + 1]]]
+            keys = piece_codec._mixed(np.array([piece_codec.xxhash.xxh64_intdigest(f"{k}/1", 5)], np.uint64), np.arange(len(parts), dtype=np.uint64))
+            expected.append(None if t is None else b"".join(merge(s, c._skips_of(own, s))[0] if s else c.literal for s, own in zip(parts, keys, strict=True)))
+        # Segments of up to _SHORT characters, foreign ones too, never go through the merge of single ones, and none stays in memory.
+        monkeypatch.setattr(c, "_merge", lambda s, skip, merge=merge, calls=calls: (calls.append(len(s)), merge(s, skip))[1])
+        assert c.encode_many(odd, list(range(len(odd)))) == expected
+        assert calls and min(calls) > piece_codec._SHORT and not any(c.young) and not any(c.old)
+
+
 def test_codec_frames(rows_of):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(100, None), (101, ""), (102, LONG), (3, TEXTS[3]), (None, "x y")]
     c = codec(dropout=0.1, seed=1, lanes=2)
