@@ -47,55 +47,91 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import NULL_ID, Scratch, emit, rows_of, table
+from prosemill.llm.common import NULL_ID, Scratch, emit, table
 from prosemill.llm.components import connected_components
 
 WORDS = 5
 SKETCH, OVERLAP = 32, 10
 #: Candidate pairs of two components from which their centres are compared first.
 MANY = 3
-_CACHED_WORDS = 100_000
-
-
-class _WordHashes(dict):
-    """64-bit hash of a word, computed once while it stays cached."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_hashes(text: str | None, cache: _WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles. bytes.lower and bytes.split treat ASCII only."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    h = np.zeros(max(1, len(w) - words + 1), np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are hashed together, if they are of more than one document.
+_TOGETHER = 2_000_000
+
+
+def _lowered(coded: bytes) -> np.ndarray:
+    """Bytes of texts in lower case, as bytes.lower has it (ASCII alone)."""
+    data = np.frombuffer(coded, np.uint8)
+    return data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles. Letters and blanks are those of ASCII."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
+    data = _lowered(b"".join(coded))
+    solid = (data != 32) & ((data < 9) | (data > 13))
+    upto = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+    # Each word with one blank behind it.
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    places = np.nonzero(solid & ~np.append(False, solid[:-1]))[0]
+    n_words = np.diff(np.searchsorted(places, upto), prepend=0)
+    offsets = np.append(0, np.nonzero(~solid[keep])[0] + 1)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep].tobytes())]).dictionary_encode()
+    kinds, (_, bounds, blob) = found.dictionary, found.dictionary.buffers()
+    assert kinds.offset == 0
+    bounds, blob = np.frombuffer(bounds, np.int64)[: len(kinds) + 1].tolist() if len(kinds) else [0], bytes(blob or b"")
+    w = np.fromiter((xxhash.xxh64_intdigest(blob[x : y - 1]) for x, y in zip(bounds, bounds[1:], strict=False)), np.uint64, len(kinds))[found.indices.to_numpy()]
+    # Texts of fewer words have one shingle, of what there is; other shingles that reach into the next text go.
+    sizes = np.where(n_words > 0, np.maximum(1, n_words - words + 1), 0)
+    starts = np.cumsum(n_words) - n_words
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(sizes.sum())
+    factor, padded = np.uint64(0x9E3779B97F4A7C15), np.append(w, np.zeros(words, np.uint64))
     with np.errstate(over="ignore"):
-        for k in range(min(words, len(w))):
-            h = h * factor + (w[k : k + len(h)] ^ np.uint64(k + 1))
-        if len(w) < words:
-            h = h ^ np.uint64(0xA5A5_0000 + len(w))
+        h = np.zeros(len(w), np.uint64)
+        for k in range(words):
+            h *= factor
+            h += padded[k : k + len(w)] ^ np.uint64(k + 1)
+        h = h[at]
+        for text in np.nonzero((n_words > 0) & (n_words < words))[0].tolist():
+            x = np.zeros(1, np.uint64)
+            for k in range(n_words[text]):
+                x = x * factor + (w[starts[text] + k] ^ np.uint64(k + 1))
+            h[ends[text] - 1] = x[0] ^ np.uint64(0xA5A5_0000 + n_words[text])
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    bounds = [0, *ends.tolist()]
+    for x, y in zip(bounds, bounds[1:], strict=False):
+        h[x:y].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    h, bounds = h[new], np.append(0, np.cumsum(new))[bounds].tolist()
+    return [h[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
+    """Rows of batches whose last column is a text, with the text's shingle hashes in its place."""
+    for batch in batches:
+        *others, texts = (c.to_pylist() for c in batch.columns)
+        bytes_ = np.cumsum([0, *(len(t or "") for t in texts)])
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(bytes_, bytes_[a] + _TOGETHER, "right")) - 1)
+            yield from zip(*(c[a:b] for c in others), shingle_sets(texts[a:b], words), strict=True)
+            a = b
 
 
 def _sketches(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rows = _WordHashes(), []
-        for doc_id, text_key, text in rows_of(batches, "doc_id", "text_key", "text"):
-            h = shingle_hashes(text, cache, words)
-            rows.append((doc_id, text_key, len(h), xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None, h[:SKETCH].view(np.int64)))
+        rows = []
+        for doc_id, text_key, h in _hashed(batches, words):
+            rows.append((doc_id, text_key, len(h), xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None, h[:SKETCH].view(np.int64).copy()))
             if len(rows) >= 5000:
                 yield emit(rows, schema)
                 rows = []
@@ -111,6 +147,8 @@ def _least_overlap(n_shingles, share: float):
 
 _NONE = np.uint64(2**64 - 1)
 _BLOCK = 64
+#: Pairs that are looked at together.
+_PAIRS = 20_000
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -132,94 +170,121 @@ def _shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return grid[: len(a)] @ grid[len(a) :].T
 
 
-class _List:
-    """Sets of one list, or of one tile of it, in the order of their keys."""
+class _Lists:
+    """Sets of several lists, or of tiles of them, one list behind the other; within each in the order of their keys."""
 
-    def __init__(self, value: int, keys: list, parts: list, sizes: list, masks: list, sides: list, sketches: list[np.ndarray], share: float):
-        order = np.argsort(np.array(keys), kind="stable")
-        self.value, self.share = np.uint64(value & (2**64 - 1)), share
-        self.keys, self.parts, self.sizes, masks, self.sides = (np.array(x)[order] for x in (keys, parts, sizes, masks, sides))
-        self.values = np.full((len(keys), SKETCH), _NONE)
-        for r, k in enumerate(order):
-            self.values[r, : len(sketches[k])] = sketches[k]
+    def __init__(self, number: np.ndarray, lists: np.ndarray, keys: np.ndarray, parts: np.ndarray, sizes: np.ndarray, masks: np.ndarray, sides: np.ndarray, values: np.ndarray, share: float):
+        order = np.lexsort((keys, number))
+        self.keys, self.parts, self.sizes, self.sides, self.values, self.share = keys[order], parts[order], sizes[order], sides[order], values[order], share
         # Values that a set is listed under and that come before this one.
-        listed = (masks[:, None] >> np.arange(SKETCH) & 1).astype(bool) & (self.values < self.value)
+        listed = (masks[order][:, None] >> np.arange(SKETCH) & 1).astype(bool) & (self.values < lists[order].view(np.uint64)[:, None])
         self.before = np.where(listed, self.values, _NONE)
         self.least = np.where(self.sizes < SKETCH, np.maximum(1, np.ceil(self.sizes * share - 1e-9)), OVERLAP)
+        self.bounds = np.concatenate([[0], np.nonzero(np.diff(number[order]))[0] + 1, [len(order)]])
+
+    def _fits(self, i: np.ndarray, j: np.ndarray, every: bool) -> np.ndarray:
+        fits = np.minimum(self.sizes[i], self.sizes[j]) >= self.share * np.maximum(self.sizes[i], self.sizes[j]) - 1e-9
+        if every:
+            # side 2: pairs within the tile count as well
+            fits &= (self.parts[i] != self.parts[j]) & ((self.sides[i] != self.sides[j]) | (self.sides[i] == 2))
+        return fits
+
+    def _candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[slice, slice] | None]]:
+        """Rows i > j of one list each, in pieces of bounded size; the blocks that they make up in a list of over ``_BLOCK`` rows."""
+        counts = np.diff(self.bounds)
+        ahead = np.where(np.repeat(counts, counts) <= _BLOCK, np.arange(len(self.keys)) - np.repeat(self.bounds[:-1], counts), 0)
+        upto = np.concatenate([[0], np.cumsum(ahead)])
+        r = 0
+        while r < len(ahead):
+            until = max(r + 1, int(np.searchsorted(upto, upto[r] + _PAIRS, "right")) - 1)
+            n = ahead[r:until]
+            i = np.repeat(np.arange(r, until), n)
+            # the k-th pair of row i is that with the k-th row of its list
+            j = i - np.repeat(n, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            yield i, j, None
+            r = until
+        for k in np.nonzero(counts > _BLOCK)[0]:
+            start, end = self.bounds[k : k + 2].tolist()
+            for a in range(start, end, _BLOCK):
+                for b in range(start, a + 1, _BLOCK):
+                    i, j = np.meshgrid(np.arange(a, min(end, a + _BLOCK)), np.arange(b, min(end, b + _BLOCK)), indexing="ij")
+                    yield i, j, (slice(a, min(end, a + _BLOCK)), slice(b, min(end, b + _BLOCK)))
 
     def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows i > j of candidates and their overlap, in blocks of i. every: of different components, each told in its first list alone."""
-        n = len(self.keys)
-        for a in range(0, n, _BLOCK):
-            for b in range(0, a + 1, _BLOCK):
-                i, j = np.meshgrid(np.arange(a, min(n, a + _BLOCK)), np.arange(b, min(n, b + _BLOCK)), indexing="ij")
-                fits = (j < i) & (np.minimum(self.sizes[i], self.sizes[j]) >= self.share * np.maximum(self.sizes[i], self.sizes[j]) - 1e-9)
-                if every:
-                    # side 2: pairs within the tile count as well
-                    fits &= (self.parts[i] != self.parts[j]) & ((self.sides[i] != self.sides[j]) | (self.sides[i] == 2))
-                if fits.sum() > 500:
-                    fits &= _shared_counts(self.values[a : a + _BLOCK], self.values[b : b + _BLOCK]) >= np.minimum(self.least[i], self.least[j])
-                i, j = i[fits], j[fits]
-                if not len(i):
-                    continue
-                common = _common(self.values[i], self.values[j], SKETCH)
-                good = common >= np.minimum(self.least[i], self.least[j])
-                i, j, common = i[good], j[good], common[good]
-                if every and len(i):
-                    new = _common(self.before[i], self.before[j], 2 * SKETCH) == 0
-                    i, j, common = i[new], j[new], common[new]
-                if len(i):
-                    yield i, j, common
-
-    def best(self) -> list[tuple]:
-        """For each set the candidate among smaller keys with the largest overlap: (a, b, overlap)."""
-        found: dict[int, tuple] = {}
+        """Rows i > j of candidates and their overlap. every: of different components, each told in its first list alone."""
+        for i, j, block in self._candidates():
+            fits = (j < i) & self._fits(i, j, every)
+            if block and fits.sum() > 500:
+                fits &= _shared_counts(self.values[block[0]], self.values[block[1]]) >= np.minimum(self.least[i], self.least[j])
+            i, j = i[fits], j[fits]
+            if not len(i):
+                continue
+            common = _common(self.values[i], self.values[j], SKETCH)
+            good = common >= np.minimum(self.least[i], self.least[j])
+            i, j, common = i[good], j[good], common[good]
+            if every and len(i):
+                new = _common(self.before[i], self.before[j], 2 * SKETCH) == 0
+                i, j, common = i[new], j[new], common[new]
+            if len(i):
+                yield i, j, common
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each set of a list the candidate among smaller keys with the largest overlap, the smallest of these: keys a and b, overlap."""
+        most, partner = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
         for i, j, common in self.pairs(False):
-            for x, y, c in zip(i.tolist(), j.tolist(), common.tolist(), strict=True):
-                if c > found.get(x, (0, 0))[0]:
-                    found[x] = (c, y)
-        return [(int(self.keys[y]), int(self.keys[x]), c) for x, (c, y) in found.items()]
+            order = np.lexsort((j, -common, i))
+            i, j, common = i[order], j[order], common[order]
+            first = np.append(True, i[1:] != i[:-1])
+            i, j, common = i[first], j[first], common[first]
+            more = common > most[i]
+            most[i[more]], partner[i[more]] = common[more], j[more]
+        found = np.nonzero(most)[0]
+        return self.keys[partner[found]], self.keys[found], most[found]
 
 
 def _lists(best: bool, share: float):
     """Candidates from rows sorted by list and tile. best: for each set its best smaller partner; else all pairs between components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())] if best else [("a", pa.int64()), ("b", pa.int64()), ("part_a", pa.int64()), ("part_b", pa.int64())])
+    names = ["a", "b", "common"] if best else ["a", "b", "part_a", "part_b"]
+
+    def told(rows: list[np.ndarray], number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of the rows of whole lists, those that hold more than one set."""
+        several = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+        if not several.any():
+            return
+        v, _, *others = (x[several] for x in rows)
+        x = _Lists(number[several], v, *others, share)
+        found = [x.best()] if best else ((x.keys[j], x.keys[i], x.parts[j], x.parts[i]) for i, j, _ in x.pairs(True))
+        for columns in found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        held: tuple = ([], [], [], [], [], [])
-
-        def told() -> Iterator[list[tuple]]:
-            if len(held[0]) < 2:
-                return
-            x = _List(now[0], *held, share)
-            if best:
-                yield x.best()
-                return
-            for i, j, _ in x.pairs(True):
-                yield list(zip(x.keys[j].tolist(), x.keys[i].tolist(), x.parts[j].tolist(), x.parts[i].tolist(), strict=True))
-
-        rows: list[tuple] = []
+        waiting: list[list[np.ndarray]] = []  # pieces of the list that the last batch ended in
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lists = batch.column(7)
             flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            v, tile, key, part, n, mask, side = (batch.column(k).to_pylist() for k in range(7))
-            for k in range(batch.num_rows):
-                if (v[k], tile[k]) != now:
-                    for got in told():
-                        rows.extend(got)
-                        if len(rows) > 20000:
-                            yield emit(rows, schema)
-                            rows = []
-                    now, held = (v[k], tile[k]), ([], [], [], [], [], [])
-                for to, x in zip(held, (key[k], part[k], n[k], mask[k], side[k], flat[ends[k] : ends[k + 1]].copy()), strict=True):
-                    to.append(x)
-        for got in told():
-            rows.extend(got)
-            if len(rows) > 20000:
-                yield emit(rows, schema)
-                rows = []
-        yield emit(rows, schema)
+            n = np.diff(ends)
+            values = np.full((batch.num_rows, SKETCH), _NONE)
+            values[np.arange(SKETCH) < n[:, None]] = flat[ends[0] : ends[-1]]
+            rows = [*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)), values]
+            v, tile = rows[:2]
+            change = np.nonzero((v[1:] != v[:-1]) | (tile[1:] != tile[:-1]))[0] + 1
+            if waiting and (waiting[-1][0][-1], waiting[-1][1][-1]) != (v[0], tile[0]):
+                whole = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                yield from told(whole, np.zeros(len(whole[0]), np.int64))
+                waiting = []
+            if not len(change):
+                waiting.append(rows)
+                continue
+            whole = [np.concatenate(c) for c in zip(*waiting, [c[: change[-1]] for c in rows], strict=True)]
+            number = np.zeros(len(whole[0]), np.int64)
+            number[change[:-1] + len(number) - change[-1]] = 1
+            yield from told(whole, np.cumsum(number))
+            waiting = [[c[change[-1] :] for c in rows]]
+        if waiting:
+            whole = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            yield from told(whole, np.zeros(len(whole[0]), np.int64))
 
     return run
 
@@ -229,10 +294,9 @@ def _verify(percent: int, words: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rows = _WordHashes(), []
+        rows: list[tuple] = []
         now, centre = None, None
-        for a, b, text in rows_of(batches, "a", "b", "text"):
-            h = shingle_hashes(text, cache, words)
+        for a, b, h in _hashed(batches, words):
             if b is None:
                 now, centre = a, h
                 continue

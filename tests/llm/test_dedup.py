@@ -6,10 +6,13 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from prosemill.llm import near_dedup as near_dedup_module
 from prosemill.llm.components import connected_components
 from prosemill.llm.exact_dedup import RadixTrie, exact_dedup
 from prosemill.llm.near_dedup import near_dedup
@@ -147,6 +150,65 @@ def test_near_passages_do_not_link(rows_of):
     assert all(x.kept for x in got)
 
 
+def test_near_texts_are_hashed_together():
+    texts = ["", None, " ", "a", "A b", "a b c d", "a b c d e", "A  B\tc\nd\x0be\x0cf\r g", " lead", "x y   z É é v w", "a a a a a a a", "\x1c \x85 \x00 [ @", "Z z { q r s"] * 3
+    for size in (1, 5, len(texts)):
+        got = [h for k in range(0, len(texts), size) for h in near_dedup_module.shingle_sets(texts[k : k + size])]
+        name = {}
+        for t, h in zip(texts, got, strict=True):
+            w = (t or "").encode().lower().split()
+            want = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+            assert len(h) == len(want) and (np.diff(h.astype(object)) > 0).all()
+            assert name.setdefault(frozenset(want), h.tobytes()) == h.tobytes()
+        assert len(set(name.values())) == len(name)
+
+
+def test_near_lists_are_told_together(monkeypatch):
+    """Candidates of short and long lists that span batches, against pairs one by one; short lists make no blocks of their own."""
+    rng, rows = np.random.default_rng(3), []
+    names = ["v", "tile", "key", "part", "n", "mask", "side", "sketch"]
+    for v in range(60):
+        n = int(rng.choice([1, 2, 3, 6, 14]))
+        for key in rng.choice(300, n, replace=False).tolist():
+            sketch = sorted({v * 1000, *(int(x) for x in rng.integers(0, 60, 3))} | set(range(100, 100 + int(rng.integers(9, 20)))))
+            rows.append((v * 1000, v % 2, key, key % 4, len(sketch), int(rng.integers(0, 1 << len(sketch))) & 0xF, 2 if v % 3 else key % 2, sketch))
+
+    def told(best):
+        found = []
+        for v in sorted({r[0] for r in rows}):
+            for x in (r for r in rows if r[0] == v):
+                partners = []
+                for y in (r for r in rows if r[0] == v and r[2] < x[2]):
+                    if min(x[4], y[4]) < 0.85 * max(x[4], y[4]):
+                        continue
+                    common = len(set(x[7]) & set(y[7]) & set(sorted(set(x[7]) | set(y[7]))[:32]))
+                    if common < min(math.ceil(0.85 * r[4]) for r in (x, y)):
+                        continue
+                    before = [{s for k, s in enumerate(r[7]) if r[5] >> k & 1 and s < v} for r in (x, y)]
+                    if best:
+                        partners.append((-common, y[2]))
+                    elif x[3] != y[3] and (x[6] != y[6] or x[6] == 2) and not before[0] & before[1]:
+                        found.append((y[2], x[2], y[3], x[3]))
+                if partners:
+                    common, y = min(partners)
+                    found.append((y, x[2], -common))
+        return sorted(found)
+
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    for best in (True, False):
+        want = told(best)
+        assert len(want) > 50
+        for block, pairs, step in ((64, 20_000, len(rows)), (64, 20_000, 7), (3, 10, 5), (64, 5, 1)):
+            monkeypatch.setattr(near_dedup_module, "_BLOCK", block)
+            monkeypatch.setattr(near_dedup_module, "_PAIRS", pairs)
+            got = near_dedup_module._lists(best, 0.85)(whole.slice(k, step) for k in range(0, len(rows), step))
+            assert sorted(r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+    calls, common = [], near_dedup_module._common
+    monkeypatch.setattr(near_dedup_module, "_PAIRS", 20_000)
+    monkeypatch.setattr(near_dedup_module, "_common", lambda a, b, most: (calls.append(len(a)), common(a, b, most))[1])
+    assert len(list(near_dedup_module._lists(True, 0.85)(iter([whole])))) and len(calls) <= 2
+
+
 def test_near_empty(rows_of):
     assert near_dedup(rows_of([])).count() == 0
     assert [tuple(x) for x in near_dedup(rows_of([(1, None)])).collect()] == [(1, 0, 1, True)]
