@@ -88,8 +88,12 @@ def crc_mod(column: str, by: int):
 
 def count_words(column):
     """Number of runs of non-blanks as a native expression; null counts as empty."""
-    text = F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), BLANKS, " "))
-    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    text = F.coalesce(column, F.lit(""))
+    for blank in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    # Only texts with blanks in a row need the expression.
+    text = F.btrim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
+    return F.when(F.octet_length(text) == 0, F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def tree_sum(parts: DataFrame, groups: int = 16) -> np.ndarray | None:

@@ -7,7 +7,8 @@ of their letters in it; a script that no learned language uses says nothing. Vit
 penalty per switch labels each word, so a text of several languages falls into spans; the
 language with most letters is the prediction. The path that keeps one language is taken
 without the search where no other language gains a penalty's worth on any run of words, nor two of
-them at the start and the end together, for then it is the best path.
+them at the start and the end together, for then it is the best path. Texts of a batch are cut into words, looked up
+and searched together.
 
 Training reads texts with a language outside the held-out fold: all of them while there are at
 most ``most_rows``, else at most ``most_rows`` in expectation, chosen by a hash of the id (documented
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ BITS = 15
 SCRIPT_SHARE = 0.01
 PENALTY = 25.0
 _CACHED = 200_000
+#: Characters of texts that are read together, if they are of more than one document.
+_TOGETHER = 2_000_000
+#: Texts that are searched together at least; fewer are searched one by one.
+_FEW = 5
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, ascending; letters before the first are Latin.
 _RANGES = (
@@ -68,6 +74,41 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
+@cache
+def _in_words() -> np.ndarray:
+    """For each code point: 2 if it is a letter, 1 if words may hold it beside letters, else 0."""
+    signs = "".join(map(chr, range(0x110000)))
+    found = np.zeros(len(signs), np.int8)
+    for run in _WORD.finditer(signs):
+        found[run.start() : run.end()] = 1
+    found[(found > 0) & np.fromiter(map(str.isalpha, signs), bool, len(signs))] = 2
+    return found
+
+
+def distinct_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of ``words_of`` of all texts, the number of each occurrence's word, and where each text's occurrences end."""
+    coded = [(t or "").lower().encode() + b"\n" for t in texts]
+    upto, whole, kinds = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))), b"".join(coded), _in_words()
+    kind = np.frombuffer(whole.translate(kinds[:128].tobytes() + bytes(128)), np.int8)
+    if (far := np.frombuffer(whole, np.int8) < 0).any():
+        codes = np.frombuffer(np.frombuffer(whole, np.int8)[far].tobytes().decode().encode("utf-32-le"), "<u4")
+        kind = kind.copy()
+        kind[far] = np.repeat(kinds[codes], 2 + (codes >= 0x800) + (codes >= 0x10000).view(np.int8))
+    # Words and what lies between them, in turn.
+    places = np.nonzero(np.diff(kind > 0, prepend=False))[0]
+    ends = np.searchsorted(places[::2], upto)
+    if not len(places):
+        return [], np.zeros(0, np.int64), ends
+    found = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(whole)).dictionary_encode()
+    number, kinds = found.indices.to_numpy()[::2], found.dictionary.to_pylist()
+    good = np.zeros(len(kinds), bool)
+    good[number] = True
+    if (kind == 1).any():
+        good &= np.fromiter((any(map(str.isalpha, w)) for w in kinds), bool, len(kinds))
+    keep = good[number]
+    return [kinds[k] for k in np.nonzero(good)[0].tolist()], (np.cumsum(good) - 1)[number[keep]], np.append(0, np.cumsum(keep))[ends]
+
+
 def _buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size, and for whole words: (buckets, index of the word that each belongs to)."""
     marked = [b"^" + w.encode() + b"$" for w in words]
@@ -131,52 +172,107 @@ class LanguageModel:
         self.sizes[at : at + len(new)] = [len(w) for w in new]
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (word by language) and letters of words that ``learn`` has seen."""
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.scores[at], self.sizes[at]
+    def places(self, words: list[str]) -> np.ndarray:
+        """Rows of distinct words in ``scores`` and ``sizes``, learnt if need be."""
+        self.learn(words)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
-def viterbi(e: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of each word under a switching penalty; the first language wins ties."""
-    n, langs = e.shape
-    total = e.sum(axis=0, dtype=np.float64)
+def _steady(e: np.ndarray, total: np.ndarray, penalty: float) -> int | None:
+    """The one label of the best path, where it can be told without a search."""
     best = int(total.argmax())
     gain = np.cumsum(e - e[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum.accumulate(np.concatenate([np.zeros((1, langs)), gain[:-1]]), axis=0)
+    low = np.minimum.accumulate(np.concatenate([np.zeros((1, e.shape[1])), gain[:-1]]), axis=0)
     # A path that touches the best language pays a switch for each stretch outside it; one that never does saves one
     # switch, but has its first stretch at the start and its last at the end.
     inside, start, end = (gain - low).max(), gain.max(), (gain[-1] - low[-1]).max()
-    if inside < penalty and start + end < penalty:
-        return np.full(n, best)
-    rows = e.tolist()
-    v, back = rows[0], []
-    for row in rows[1:]:
+    return best if inside < penalty and start + end < penalty else None
+
+
+def _search(v: list[float], rows: list[list[float]], penalty: float) -> list[int]:
+    """Best labels, from the word on that the sums v end in, by the rows of the words behind it."""
+    back = []
+    for row in rows:
         top = max(v)
         lead, change = v.index(top), top - penalty
         back.append([k if x >= change else lead for k, x in enumerate(v)])
         v = [(x if x >= change else change) + y for x, y in zip(v, row, strict=True)]
-    path = np.empty(n, np.int64)
-    path[-1] = state = v.index(max(v))
-    for k in range(n - 2, -1, -1):
-        path[k] = state = back[k][state]
-    return path
-
-
-def predict(model: LanguageModel, words: list[str], penalty: float = PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """Language, score and spans (first word, words, language) of a whole text's words, which the model has learnt."""
-    if not words or not model.langs:
-        return "und", 0.0, []
-    e, sizes = model.emissions(words)
-    path = viterbi(e, penalty)
-    letters = np.bincount(path, weights=sizes, minlength=len(model.langs))
-    best = int(letters.argmax())
-    total = e.sum(axis=0, dtype=np.float64)
-    rest = np.delete(total, best)
-    odds = 1 - float(np.exp(-max(0.0, total[best] - rest.max()))) if len(rest) else 1.0
-    turns = [0, *(np.nonzero(path[1:] != path[:-1])[0] + 1).tolist(), len(path)]
-    spans = [(a, b - a, model.langs[path[a]]) for a, b in zip(turns, turns[1:], strict=False)]
-    return model.langs[best], float(letters[best] / letters.sum()) * odds, spans
+    path = [v.index(max(v))]
+    for x in reversed(back):
+        path.append(x[path[-1]])
+    return path[::-1]
+
+
+def _searched(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float) -> list[np.ndarray]:
+    """Best labels of texts whose words lie in e from starts on: all texts' first words, then all second ones, and so on."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    v, sums, signs = e[starts].T.astype(np.float64), [], e.T.copy()
+    while (live := int(np.searchsorted(-sizes, -1 - len(sums)))) >= _FEW:
+        sums.append(now := v[:, :live].copy())
+        v[:, :live] = np.maximum(now, now.max(axis=0) - penalty) + signs[:, starts[:live] + len(sums)]
+    own, upto = np.cumsum(sizes) - sizes, len(sums)
+    path, state = np.empty(sizes.sum(), np.int64), v.argmax(axis=0)
+    for k in range(live):
+        a, n = int(starts[k]), int(sizes[k])
+        path[own[k] + upto : own[k] + n] = rest = _search(v[:, k].tolist(), e[a + upto + 1 : a + n].tolist(), penalty)
+        state[k] = rest[0]
+    if sums:
+        # Where each label comes from, for all words at once: from itself, or from the label in the lead.
+        counts = [x.shape[1] for x in sums]
+        before = np.concatenate(sums, axis=1)
+        back = np.where(before >= before.max(axis=0) - penalty, np.arange(len(before))[:, None], before.argmax(axis=0))
+        until = back.shape[1]
+        for k in range(upto, 0, -1):
+            n = counts[k - 1]
+            path[own[:n] + k] = now = state[:n]
+            state[:n] = back[now, np.arange(until - n, until)]
+            until -= n
+    path[own] = state
+    out: list = [None] * len(order)
+    for k, x in zip(order.tolist(), np.split(path, own[1:]), strict=True):
+        out[k] = x
+    return out
+
+
+def viterbi(e: np.ndarray, penalty: float) -> np.ndarray:
+    """Best label of each word under a switching penalty; the first language wins ties."""
+    label = _steady(e, e.sum(axis=0, dtype=np.float64), penalty)
+    return _searched(e, np.zeros(1, np.int64), np.array([len(e)]), penalty)[0] if label is None else np.full(len(e), label)
+
+
+def predict(model: LanguageModel, texts: list[str | None], penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Language, score and spans (first word, words, language) of whole texts."""
+    out: list = [("und", 0.0, [])] * len(texts)
+    if not model.langs:
+        return out
+    words, number, ends = distinct_words(texts)
+    at = model.places(words)[number]
+    e, bounds, totals, unclear = model.scores[at], [0, *ends.tolist()], {}, []
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if a == b:
+            continue
+        totals[k] = total = e[a:b].sum(axis=0, dtype=np.float64)
+        label = _steady(e[a:b], total, penalty)
+        if label is None:
+            unclear.append(k)
+        else:
+            out[k] = (model.langs[label], _odds(total, label), [(0, b - a, model.langs[label])])
+    if unclear:
+        starts = np.array([bounds[k] for k in unclear])
+        for k, path in zip(unclear, _searched(e, starts, np.array([bounds[k + 1] for k in unclear]) - starts, penalty), strict=True):
+            letters = np.bincount(path, weights=model.sizes[at[bounds[k] : bounds[k + 1]]], minlength=len(model.langs))
+            best = int(letters.argmax())
+            turns = [0, *(np.nonzero(path[1:] != path[:-1])[0] + 1).tolist(), len(path)]
+            spans = [(x, y - x, model.langs[path[x]]) for x, y in zip(turns, turns[1:], strict=False)]
+            out[k] = (model.langs[best], float(letters[best] / letters.sum()) * _odds(totals[k], best), spans)
+    return out
+
+
+def _odds(total: np.ndarray, best: int) -> float:
+    """How much likelier a language is than the next one."""
+    own, *rest = (total[best], *total[:best], *total[best + 1 :])
+    return 1 - float(np.exp(-max(0.0, own - max(rest)))) if rest else 1.0
 
 
 def fit(training: DataFrame, langs: list[str]) -> LanguageModel:
@@ -239,10 +335,10 @@ def detect_languages(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got, texts = [], batch.column(at).to_pylist()
-            for k in range(0, len(texts), 256):
-                words = [words_of(t) for t in texts[k : k + 256]]
-                model.learn([w for ws in words for w in ws])
-                got.extend(predict(model, ws, penalty) for ws in words)
+            upto = np.cumsum([0, *(len(t or "") for t in texts)])
+            while len(got) < len(texts):
+                until = max(len(got) + 1, int(np.searchsorted(upto, upto[len(got)] + _TOGETHER, "right")) - 1)
+                got.extend(predict(model, texts[len(got) : until], penalty))
             own = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([[dict(zip(("first_word", "n_words", "lang"), s, strict=True)) for s in g[2]] for g in got], spans)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *added])
 

@@ -316,6 +316,44 @@ def test_viterbi_is_the_best_path(scores):
     assert value(language_id.viterbi(e, penalty).tolist()) == pytest.approx(best)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text() | st.text("aÄσΣ漢²①_\n 1İ\U00020000"), max_size=5))
+def test_words_are_cut_together(texts):
+    words, number, ends = language_id.distinct_words(texts)
+    bounds = [0, *ends.tolist()]
+    assert len(set(words)) == len(words) and len(ends) == len(texts)
+    assert [[words[k] for k in number[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] == [language_id.words_of(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.lists(st.integers(-40, 0), min_size=3, max_size=3), min_size=1, max_size=12), min_size=1, max_size=12), st.integers(0, 9))
+def test_texts_are_searched_together_as_alone(texts, seed):
+    # thirds of a unit, so that the order of sums matters, and ties
+    e = [np.array(x, np.float32) / np.float32(3 if seed % 2 else 1) for x in texts]
+    sizes = np.array([len(x) for x in e])
+    got = language_id._searched(np.concatenate(e), np.cumsum(sizes) - sizes, sizes, float(seed))
+    assert [x.tolist() for x in got] == [language_id._search(x[0].tolist(), x[1:].tolist(), float(seed)) for x in e]
+
+
+def test_a_batch_is_one_search(rows_of, monkeypatch):
+    model = language_id.learn(rows_of(language_rows()))
+    r = random.Random(8)
+    texts = [" ".join(" ".join(WORDS[lang].split() * r.randint(2, 4)) for lang in r.choices(["en", "de", "el"], k=r.randint(2, 9))) for _ in range(60)] + [None, "12", WORDS["en"]]
+    alone = [language_id.predict(model, [t])[0] for t in texts]
+    calls, search = [], language_id._search
+    monkeypatch.setattr(language_id, "_search", lambda *x: calls.append(1) or search(*x))
+    assert language_id.predict(model, texts) == alone and sum(len(x[2]) > 1 for x in alone) > 30
+    assert len(calls) < language_id._FEW
+
+
+def test_words_are_counted(rows_of):
+    texts = [None, "", " ", "\n\t", "a", " a", "a\r\n b\v\fc ", "a b\nc", "ä\u00a0ö\u2003ü", "  a   b" * 50, LONG, "\x1f\x08 x"]
+    from prosemill.llm.common import count_words
+
+    got = rows_of([(k, t) for k, t in enumerate(texts)])
+    assert {r.doc_id: r.n for r in got.select("doc_id", count_words(got.text).alias("n")).collect()} == {k: len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for k, t in enumerate(texts)}
+
+
 def rule(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
